@@ -145,6 +145,32 @@ def _fill_blocks(df, keys, cols, step) -> DataFrame:
         *[f"_carry_{c}" for c in cols])
 
 
+def running_totals(df: DataFrame, keys, order: str, cols, span_rows: int = SPAN_ROWS,
+                   split: bool | None = None) -> DataFrame:
+    """Add ``<col>_cum``, the sum up to and including the row, and ``<col>_total`` per key.
+
+    Rows of a key must differ in the order column (count equal values first).
+    """
+    keys, cols = list(keys), list(cols)
+    if not (needs_split(df, keys, span_rows) if split is None else split):
+        w = W.partitionBy(*keys)
+        upto = w.orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+        return df.withColumns({f"{c}_cum": F.sum(c).over(upto) for c in cols}).withColumns(
+            {f"{c}_total": F.sum(c).over(w) for c in cols})
+    ranged = _ranged(df, keys, [F.col(order)], max(1, ceil(df.count() / span_rows)))
+    sizes = ranged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_s_{c}") for c in cols])
+    parts = W.partitionBy(*keys)
+    before = parts.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_part", *[e for c in cols for e in (
+        F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_skip_{c}"),
+        F.sum(f"_s_{c}").over(parts).alias(f"{c}_total"))])
+    inside = W.partitionBy(*keys, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    run = ranged.withColumns({f"{c}_cum": F.sum(c).over(inside) for c in cols})
+    out = null_safe_join(run, starts, [*keys, "_part"])
+    return out.withColumns({f"{c}_cum": F.col(f"{c}_cum") + F.col(f"_skip_{c}") for c in cols}).drop(
+        "_part", "_row", *[f"_skip_{c}" for c in cols])
+
+
 def quantiles(df: DataFrame, cols, probs, keys=(), span_rows: int = SPAN_ROWS) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per key, one array per column.
 
@@ -157,21 +183,11 @@ def quantiles(df: DataFrame, cols, probs, keys=(), span_rows: int = SPAN_ROWS) -
         return df.groupBy(*keys).agg(*[
             F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in cols])
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).cast("double").alias("_v")) for c in cols]))
-    counts = (df.select(*keys, pairs.alias("_p")).select(*keys, "_p._name", "_p._v")
+    counts = (df.select(*keys, pairs.alias("_p")).select(*keys, "_p._name", "_p._v").filter("_v IS NOT NULL")
               .groupBy(*keys, "_name", "_v").agg(F.count(F.lit(1)).alias("_n")))
     group = [*keys, "_name"]
-    present = counts.filter("_v IS NOT NULL")
-    ranged = _ranged(present, group, [F.col("_v")], max(1, ceil(df.count() * len(cols) / span_rows)))
-    sizes = ranged.groupBy(*group, "_part").agg(F.sum("_n").alias("_size"))
-    all_parts = W.partitionBy(*group)
-    starts = sizes.select(
-        *group, "_part",
-        F.coalesce(F.sum("_size").over(all_parts.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_skip"),
-        F.sum("_size").over(all_parts).alias("_total"))
-    inside = W.partitionBy(*group, "_part").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    run = null_safe_join(ranged.withColumn("_cum", F.sum("_n").over(inside)), starts, [*group, "_part"])
-    run = run.withColumn("_cum", F.col("_cum") + F.col("_skip"))
+    run = running_totals(counts, group, "_v", ["_n"], span_rows, True)
+    run = run.withColumnsRenamed({"_n_cum": "_cum", "_n_total": "_total"})
     picks = []
     for p in probs:
         h = (F.col("_total") - 1) * F.lit(p)

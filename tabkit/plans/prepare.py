@@ -55,7 +55,7 @@ knots AS (SELECT prio, x, qty AS y, lag(x, 1) OVER k AS xp1, lag(qty, 1) OVER k
    FROM placed WHERE qty IS NOT NULL WINDOW k AS (PARTITION BY prio ORDER BY x)),
 parts AS (SELECT *, CAST(x - xp1 AS DOUBLE) AS ha, CAST(xn1 - x AS DOUBLE) AS hb, (y - yp1) / (x - xp1) AS da, (yn1 - y) / (xn1 - x) AS db,
    CAST(xn2 - xn1 AS DOUBLE) AS hn, (yn2 - yn1) / (xn2 - xn1) AS dn, CAST(xp1 - xp2 AS DOUBLE) AS hp, (yp1 - yp2) / (xp1 - xp2) AS dp FROM knots),
-ends AS (SELECT *, ((2 * hb + hn) * db - hn * dn) / (hb + hn) AS e0, ((2 * ha + hp) * da - hp * dp) / (ha + hp) AS e1 FROM parts),
+ends AS (SELECT *, ((2 * hb + hn) * db - hb * dn) / (hb + hn) AS e0, ((2 * ha + hp) * da - ha * dp) / (ha + hp) AS e1 FROM parts),
 slopes AS (SELECT prio, x, y, CASE
    WHEN ha IS NULL AND hb IS NULL THEN 0.0
    WHEN ha IS NULL THEN CASE WHEN hn IS NULL THEN db WHEN sign(e0) <> sign(db) THEN 0.0 WHEN sign(db) <> sign(dn) AND abs(e0) > 3 * abs(db) THEN 3 * db ELSE e0 END
@@ -364,20 +364,32 @@ def m3(spark, sf):
     return out.select("factor", "df1", "df2", r4("f").alias("f"))
 
 
-@query("m4_select_by_corr", """
-SELECT * FROM (SELECT 'l_quantity' AS "column", round(corr(l_quantity, l_extendedprice), 6) AS corr FROM lineitem
- UNION ALL SELECT 'l_discount', round(corr(l_discount, l_extendedprice), 6) FROM lineitem UNION ALL SELECT 'l_tax', round(corr(l_tax, l_extendedprice), 6) FROM lineitem) WHERE abs(corr) > 0.3""")
+def _customers(spark, sf):
+    spent = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("o_totalprice").alias("spent"))
+    return table(spark, sf, "customer").join(spent, "c_custkey").select(
+        "c_custkey", "c_mktsegment", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"), "n", "spent",
+        (F.col("n") > 10).alias("frequent"))
+
+
+_CUSTOMERS = """c AS (SELECT c_custkey, c_mktsegment, c_acctbal, CAST(c_nationkey AS DOUBLE) AS nation, n, spent, n > 10 AS frequent
+ FROM customer JOIN (SELECT o_custkey, CAST(COUNT(*) AS DOUBLE) AS n, SUM(o_totalprice) AS spent FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
+
+
+@query("m4_select_by_corr", f"""
+WITH {_CUSTOMERS} SELECT * FROM (SELECT 'n' AS "column", round(corr(n, spent), 6) AS corr FROM c
+ UNION ALL SELECT 'c_acctbal', round(corr(c_acctbal, spent), 6) FROM c UNION ALL SELECT 'nation', round(corr(nation, spent), 6) FROM c) WHERE abs(corr) > 0.3""")
 def m4(spark, sf):
-    out = stats.select_by_corr(table(spark, sf, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], 0.3)
+    out = stats.select_by_corr(_customers(spark, sf), "spent", ["n", "c_acctbal", "nation"], 0.3)
     return out.withColumn("corr", r4("corr", 6))
 
 
-@query("m5_select_features", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_orderkey % 5 = 0")
+@query("m5_select_features", f"WITH {_CUSTOMERS} SELECT c_custkey, n, frequent FROM c WHERE c_custkey % 5 = 0")
 def m5(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    train, test = lines.filter("l_orderkey % 5 <> 0"), lines.filter("l_orderkey % 5 = 0").drop("l_extendedprice")
-    picked = stats.select_features(train, test, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], ["l_returnflag"], level=1e-6)
-    return test.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *picked)
+    c = _customers(spark, sf)
+    train, test = c.filter("c_custkey % 5 <> 0"), c.filter("c_custkey % 5 = 0").drop("spent")
+    picked = stats.select_features(train, test, "spent", ["n", "c_acctbal", "nation"], ["frequent", "c_mktsegment"], level=1e-6)
+    return test.select("c_custkey", *picked)
 
 
 _FIT1 = """f AS (SELECT COUNT(*) AS n, AVG(l_quantity) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, regr_sxy(l_extendedprice, l_quantity) AS sxy,

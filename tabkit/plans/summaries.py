@@ -270,14 +270,14 @@ def f9(spark, sf):
 
 
 @query("f10_smooth_local", f"""
-WITH {DAILY_CTE}, x AS (SELECT prio, d, CAST(date_diff('day', (SELECT MIN(d) FROM panel), d) AS DOUBLE) AS x, qty FROM panel)
-SELECT prio, d, round(COALESCE(regr_intercept(qty, x) OVER w + regr_slope(qty, x) OVER w * x, AVG(qty) OVER w), 3) AS smooth FROM x
+WITH {DAILY_CTE}, x AS (SELECT prio, d, CAST(date_diff('day', (SELECT MIN(d) FROM panel), d) AS DOUBLE) AS x, ln(1 + qty) AS qty FROM panel)
+SELECT prio, d, round(COALESCE(regr_intercept(qty, x) OVER w + regr_slope(qty, x) OVER w * x, AVG(qty) OVER w), 5) AS smooth FROM x
 WINDOW w AS (PARTITION BY prio ORDER BY d ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING)""")
 def f10(spark, sf):
     panel = daily_panel(spark, sf)
     first = panel.agg(F.min("d")).scalar()
-    x = panel.withColumn("x", F.datediff("d", first).cast("double"))
-    return windows.smooth_local(x, ["prio"], ["d"], "x", "qty", 15).select("prio", "d", r4("smooth", 3).alias("smooth"))
+    x = panel.withColumn("x", F.datediff("d", first).cast("double")).withColumn("qty", F.log1p("qty"))
+    return windows.smooth_local(x, ["prio"], ["d"], "x", "qty", 15).select("prio", "d", r4("smooth", 5).alias("smooth"))
 
 
 # ---- sorts and top-k
