@@ -66,7 +66,7 @@ def freq(df: DataFrame, col, pct: bool = False) -> DataFrame:
     counts = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
     if not pct:
         return counts
-    total = df.agg(F.count(F.lit(1)).alias("t")).scalar()
+    total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("pct", F.col("n") * F.lit(100.0) / total)
 
 

@@ -84,17 +84,19 @@ def knn_impute(df: DataFrame, key: str, cols, k: int = 50, digits: int | None =
 
 
 def interpolate(df: DataFrame, keys, order, col: str, how: str = "linear", digits: int | None = None,
-                edges: bool = True, span_rows: int = SPAN_ROWS) -> DataFrame:
+                edges: bool = True, span_rows: int = SPAN_ROWS, split: bool | None = None) -> DataFrame:
     """Fill gaps of a series from the known values around them.
 
     ``how`` is 'linear', 'pchip' (shape-preserving cubic) or 'spline' (cubic spline that also
     extends past the ends). The abscissa is the row position within the key. With
-    ``edges`` leading gaps take the first value and trailing gaps the last.
+    ``edges`` leading gaps take the first value and trailing gaps the last. Pass
+    ``split=False`` for series that are short by construction (see ``windows``).
     """
     keys, order = list(keys), as_columns(order)
     if how == "spline":
-        return _spline(df, keys, order, col, digits, span_rows)
-    split = needs_split(df, keys, span_rows)
+        return _spline(df, keys, order, col, digits, span_rows, split)
+    if split is None:
+        split = needs_split(df, keys, span_rows)
     placed = with_position(df, order, keys, "_x", span_rows, split).withColumn("_y", F.col(col).cast("double"))
     knots = placed.filter("_y IS NOT NULL").select(*keys, "_x", "_y")
     if how == "pchip":
@@ -187,9 +189,9 @@ def spline_values(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return y[piece] + t * (b[piece] + t * (3 * s[piece] + t * (s[piece + 1] - s[piece]) / h[piece]))
 
 
-def _spline(df, keys, order, col, digits, span_rows) -> DataFrame:
+def _spline(df, keys, order, col, digits, span_rows, split) -> DataFrame:
     """One series is solved as a whole, so its length is checked: calendars are short."""
-    if needs_split(df, keys, span_rows):
+    if needs_split(df, keys, span_rows) if split is None else split:
         raise ValueError("a spline needs each series within one task; aggregate it to a calendar first")
     placed = with_position(df, order, keys, "_x", span_rows, False)
     short = placed.select(*keys, "_x", F.col(col).cast("double").alias("_y"))

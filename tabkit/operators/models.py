@@ -100,7 +100,7 @@ def gbt_multiclass(df: DataFrame, y: str, features_col: str, rounds: int = 20, d
                    seed: int = 7):
     """One boosted model per class against the rest. Labels are 0..k-1 doubles."""
     est = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed),
-                    labelCol=y, featuresCol=features_col)
+                    labelCol=y, featuresCol=features_col, parallelism=4)
     return est.fit(df)
 
 
@@ -132,7 +132,7 @@ def grid_search(est, grid, df: DataFrame, key: str, k: int, evaluator, seed: int
     """Exhaustive search with k-fold validation; folds come from a hash of the key."""
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=evaluator, numFolds=k, foldCol="fold",
                         parallelism=parallelism, seed=seed)
-    return cv.fit(kfold(df, key, k, seed))
+    return cv.fit(checkpointed(kfold(df, key, k, seed)))
 
 
 def search_results(cv_model, spark) -> DataFrame:
@@ -144,7 +144,7 @@ def search_results(cv_model, spark) -> DataFrame:
 
 def cross_val(est, df: DataFrame, key: str, k: int, evaluator, seed: int = 0) -> DataFrame:
     """Score of one estimator on each of k folds."""
-    folded = kfold(df, key, k, seed)
+    folded = checkpointed(kfold(df, key, k, seed))
     rows = []
     for i in range(k):
         model = est.fit(folded.filter(F.col("fold") != i))
@@ -181,7 +181,7 @@ def bootstrap_fit(make, df: DataFrame, key: str, n: int, seed: int = 0) -> list:
 
     ``make(weight_column)`` returns the estimator; the draw is its row weight.
     """
-    models = []
+    models, df = [], checkpointed(df)
     for i in range(n):
         u = hash_unit(F.col(key), seed=seed + i)
         # Cumulative Poisson(1) probabilities of 0, 1, 2, 3 and 4.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabkit.functions.scalars import recode, round_even
 from tabkit.operators.agg import corr_by, distinct_on
 from tabkit.operators.joins import enrich, join_coalesce
-from tabkit.operators.order import largest_group, null_safe_join, with_position
+from tabkit.operators.order import null_safe_join, with_position
 from tabkit.operators.windows import add_lags
 
 MAX_SERIES_ROWS = 100_000     # a daily series of this length spans 270 years
@@ -42,9 +42,10 @@ def build_panel(facts: DataFrame, dims, date: str) -> DataFrame:
     return calendar_features(enrich(facts, dims), date)
 
 
-def lag_features(df: DataFrame, keys, order, col: str, lags, tag: str = "data_type", train: str = "train") -> DataFrame:
+def lag_features(df: DataFrame, keys, order, col: str, lags, tag: str = "data_type", train: str = "train",
+                 split: bool | None = None) -> DataFrame:
     """Lags over train and test rows together; training rows without all lags are dropped."""
-    out = add_lags(df, keys, order, col, lags)
+    out = add_lags(df, keys, order, col, lags, split=split)
     names = [f"{col}_lag_{k}" for k in lags]
     full = F.lit(True)
     for c in names:
@@ -136,13 +137,15 @@ def forecast_groups(train: DataFrame, test: DataFrame, keys, date: str, y: str,
     keys, regressors = list(keys), list(regressors)
     if method == "seasonal_naive":
         return seasonal_naive(train, test, keys, date, y, season)
-    if max(largest_group(train, [*keys, date]), largest_group(test, [*keys, date])) > 1:
-        raise ValueError("a panel has one row per key and date; aggregate it first")
-    if max(largest_group(train, keys), largest_group(test, keys)) > max_rows:
-        raise ValueError(f"a series has more than {max_rows} rows; aggregate it to a coarser calendar first")
     cols = [*keys, date, y, *regressors]
     both = train.filter(F.col(y).isNotNull()).select(*cols, F.lit(False).alias("_new")).unionByName(
         test.withColumn(y, F.lit(None).cast("double")).select(*cols, F.lit(True).alias("_new")))
+    cells = both.groupBy(*keys, "_new", date).agg(F.count(F.lit(1)).alias("_c"))
+    shape = cells.groupBy(*keys).agg(F.max("_c").alias("_c"), F.sum("_c").alias("_n")).agg(F.max("_c"), F.max("_n")).first()
+    if (shape[0] or 0) > 1:
+        raise ValueError("a panel has one row per key and date; aggregate it first")
+    if (shape[1] or 0) > max_rows:
+        raise ValueError(f"a series has more than {max_rows} rows; aggregate it to a coarser calendar first")
     both = both.withColumn("_day", F.datediff(F.col(date), F.lit("1970-01-01").cast("date")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in test.select(*keys, date).schema.fields)
 

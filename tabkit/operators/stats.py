@@ -268,7 +268,8 @@ def vif(df: DataFrame, cols) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column string, vif double, inflated boolean")
 
 
-def acf(df: DataFrame, keys, order, col: str, max_lag: int | None = None, span_rows: int = SPAN_ROWS) -> DataFrame:
+def acf(df: DataFrame, keys, order, col: str, max_lag: int | None = None,
+        span_rows: int = SPAN_ROWS, split: bool | None = None) -> DataFrame:
     """Autocorrelation of each series for lags 0..max_lag (10 log10 n of the longest by default)."""
     keys = list(keys)
     if max_lag is None:
@@ -276,18 +277,19 @@ def acf(df: DataFrame, keys, order, col: str, max_lag: int | None = None, span_r
     means = df.groupBy(*keys).agg(F.avg(col).alias("_m"))
     dev = null_safe_join(df, means, keys).withColumn("_e", F.col(col) - F.col("_m"))
     wide = over_rows(dev, keys, order, lambda w: {f"_e{k}": F.lag("_e", k).over(w) for k in range(1, max_lag + 1)},
-                     before=max_lag, span_rows=span_rows).withColumn("_e0", F.col("_e"))
+                     before=max_lag, span_rows=span_rows, split=split).withColumn("_e0", F.col("_e"))
     sums = wide.groupBy(*keys).agg(*[F.sum(F.col("_e") * F.col(f"_e{k}")).alias(f"_c{k}") for k in range(max_lag + 1)])
     items = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_c{k}") / F.nullif(F.col("_c0"), F.lit(0.0))).alias("acf"))
                       for k in range(max_lag + 1)])
     return sums.select(*keys, F.explode(items).alias("_x")).select(*keys, "_x.*").filter("acf IS NOT NULL")
 
 
-def decompose(df: DataFrame, keys, order, col: str, period: int, span_rows: int = SPAN_ROWS) -> DataFrame:
+def decompose(df: DataFrame, keys, order, col: str, period: int, span_rows: int = SPAN_ROWS,
+              split: bool | None = None) -> DataFrame:
     """Trend by centred moving average, seasonal means by phase (centred on zero), remainder."""
     keys = list(keys)
     half = period // 2
-    placed = with_position(df, order, keys, "_i", span_rows)
+    placed = with_position(df, order, keys, "_i", span_rows, split)
 
     def trend(w):
         n = F.count(col).over(w.rowsBetween(-half, half))
@@ -298,7 +300,7 @@ def decompose(df: DataFrame, keys, order, col: str, period: int, span_rows: int
                      - (F.lag(col, half).over(w) + F.lead(col, half).over(w)) / 2.0)
         return {"trend": F.when(n == 2 * half + 1, total / period)}
 
-    out = over_rows(placed, keys, ["_i"], trend, half, half, span_rows).withColumn(
+    out = over_rows(placed, keys, ["_i"], trend, half, half, span_rows, split).withColumn(
         "phase", ((F.col("_i") - 1) % period).cast("int"))
     phases = out.groupBy(*keys, "phase").agg(F.avg(F.col(col) - F.col("trend")).alias("_s"))
     centre = phases.groupBy(*keys).agg(F.avg("_s").alias("_sm"))

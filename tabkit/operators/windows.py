@@ -1,4 +1,8 @@
-"""Neighbouring rows and group statistics on rows."""
+"""Neighbouring rows and group statistics on rows.
+
+``split=None`` counts the rows of the largest key first; pass ``split=False`` where keys are
+short by construction (one row per day of a calendar) to save that job.
+"""
 
 from __future__ import annotations
 
@@ -12,24 +16,27 @@ __all__ = ["add_lags", "add_leads", "drop_superseded", "fill", "group_mean", "gr
            "smooth_local", "zscore"]
 
 
-def add_lags(df: DataFrame, keys, order, col: str, lags, span_rows: int = SPAN_ROWS) -> DataFrame:
+def add_lags(df: DataFrame, keys, order, col: str, lags, span_rows: int = SPAN_ROWS,
+             split: bool | None = None) -> DataFrame:
     """Values k rows back within the key, as ``<col>_lag_<k>``."""
     return over_rows(df, keys, order, lambda w: {f"{col}_lag_{k}": F.lag(col, k).over(w) for k in lags},
-                     before=max(lags), span_rows=span_rows)
+                     before=max(lags), span_rows=span_rows, split=split)
 
 
-def add_leads(df: DataFrame, keys, order, cols, k: int = 1, span_rows: int = SPAN_ROWS) -> DataFrame:
+def add_leads(df: DataFrame, keys, order, cols, k: int = 1, span_rows: int = SPAN_ROWS,
+              split: bool | None = None) -> DataFrame:
     """Values k rows ahead within the key, as ``next_<col>``."""
     return over_rows(df, keys, order, lambda w: {f"next_{c}": F.lead(c, k).over(w) for c in cols},
-                     after=k, span_rows=span_rows)
+                     after=k, span_rows=span_rows, split=split)
 
 
 def rolling_mean(df: DataFrame, keys, order, col: str, n: int, name: str | None = None,
-                 span_rows: int = SPAN_ROWS) -> DataFrame:
+                 span_rows: int = SPAN_ROWS,
+                 split: bool | None = None) -> DataFrame:
     """Mean of the last n rows including this one; NULLs are skipped and one value is enough."""
     return over_rows(df, keys, order,
                      lambda w: {name or f"{col}_mean_{n}": F.avg(col).over(w.rowsBetween(-(n - 1), 0))},
-                     before=n - 1, span_rows=span_rows)
+                     before=n - 1, span_rows=span_rows, split=split)
 
 
 def group_mean(df: DataFrame, keys, col: str, digits: int | None = None, name: str | None = None) -> DataFrame:
@@ -58,14 +65,15 @@ def zscore(df: DataFrame, cols, by=(), suffix: str = "_z") -> DataFrame:
 
 def drop_superseded(df: DataFrame, keys, date: str, kind: str, original: str = "Holiday",
                     replacement: str = "Transfer", days: int = 7, order=(), keep_last: bool = True,
-                    span_rows: int = SPAN_ROWS) -> DataFrame:
+                    span_rows: int = SPAN_ROWS,
+                    split: bool | None = None) -> DataFrame:
     """Remove an original entry when its replacement follows as the next entry within some days.
 
     An entry without a next one stays; with ``keep_last=False`` it goes if it is an original
     (the comparison with nothing is then taken as unknown).
     """
     out = over_rows(df, keys, [date, *order], lambda w: {
-        "_next_date": F.lead(date).over(w), "_next_kind": F.lead(kind).over(w)}, after=1, span_rows=span_rows)
+        "_next_date": F.lead(date).over(w), "_next_kind": F.lead(kind).over(w)}, after=1, span_rows=span_rows, split=split)
     moved = ((F.col(kind) == original) & (F.col("_next_kind") == replacement)
              & (F.datediff("_next_date", date) <= days))
     keep = F.coalesce(~moved, F.lit(True)) if keep_last else ~moved
@@ -73,11 +81,12 @@ def drop_superseded(df: DataFrame, keys, date: str, kind: str, original: str = "
 
 
 def smooth_local(df: DataFrame, keys, order, x: str, y: str, half: int, name: str = "smooth",
-                 span_rows: int = SPAN_ROWS) -> DataFrame:
+                 span_rows: int = SPAN_ROWS,
+                 split: bool | None = None) -> DataFrame:
     """Fitted value of a straight line through the rows within ``half`` positions."""
     def build(w):
         near = w.rowsBetween(-half, half)
         line = F.regr_intercept(y, x).over(near) + F.regr_slope(y, x).over(near) * F.col(x)
         return {name: F.coalesce(line, F.avg(y).over(near))}
 
-    return over_rows(df, keys, order, build, before=half, after=half, span_rows=span_rows)
+    return over_rows(df, keys, order, build, before=half, after=half, span_rows=span_rows, split=split)

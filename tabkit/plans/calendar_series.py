@@ -78,7 +78,7 @@ lagged AS (SELECT prio, d, qty, CASE WHEN d >= (SELECT cut FROM lim) THEN 'test'
 
 
 def _filled_panel(spark, sf):
-    filled = impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "linear").withColumn("qty", r4("qty"))
+    filled = impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "linear", split=False).withColumn("qty", r4("qty"))
     cut = table(spark, sf, "orders").agg(F.date_sub(F.max(F.to_date("o_orderdate")), 15)).scalar()
     return filled.withColumn("data_type", F.when(F.col("d") >= cut, "test").otherwise("train"))
 
@@ -88,8 +88,8 @@ WITH {_TAGGED} SELECT prio, d, qty, data_type, qty_lag_7, qty_lag_14, qty_mean_7
  strftime(d, '%Y-%m') AS yr_month, CAST(dayofyear(d) AS INTEGER) AS yday FROM lagged WHERE data_type = 'test' OR (qty_lag_7 IS NOT NULL AND qty_lag_14 IS NOT NULL)""")
 def q4(spark, sf):
     panel = encode.calendar_features(_filled_panel(spark, sf), "d")
-    panel = windows.rolling_mean(panel, ["prio"], ["d"], "qty", 7).withColumn("qty_mean_7", r4("qty_mean_7", 3))
-    return series.lag_features(panel, ["prio"], ["d"], "qty", [7, 14])
+    panel = windows.rolling_mean(panel, ["prio"], ["d"], "qty", 7, split=False).withColumn("qty_mean_7", r4("qty_mean_7", 3))
+    return series.lag_features(panel, ["prio"], ["d"], "qty", [7, 14], split=False)
 
 
 # ---- forecasts

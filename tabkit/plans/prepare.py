@@ -74,18 +74,18 @@ SELECT prio, d, {select} AS qty FROM unit"""
 @query("k5_pchip", _series_sql("""round(COALESCE(qty, y0 * (1 + 2 * t) * (1 - t) * (1 - t) + h * m0 * t * (1 - t) * (1 - t)
   + y1 * t * t * (3 - 2 * t) + h * m1 * t * t * (t - 1), y1, y0), 3)"""))
 def k5(spark, sf):
-    out = impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "pchip")
+    out = impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "pchip", split=False)
     return out.withColumn("qty", r4("qty", 3))
 
 
 @query("k6_spline")
 def k6(spark, sf):
-    return impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "spline", 2)
+    return impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "spline", 2, split=False)
 
 
 @query("k7_linear", _series_sql("round(COALESCE(qty, y0 + (y1 - y0) * t, y1, y0), 4)"))
 def k7(spark, sf):
-    out = impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "linear")
+    out = impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "linear", split=False)
     return out.withColumn("qty", r4("qty"))
 
 
@@ -445,7 +445,7 @@ SELECT a.prio, CAST(k.k AS INTEGER) AS lag, round(SUM(a.e * b.e) / any_value(t.s
 JOIN (SELECT prio, SUM(e * e) AS ss FROM e GROUP BY 1) t ON t.prio = a.prio GROUP BY 1, 2""")
 def m12(spark, sf):
     from tabkit.plans.registry import daily_facts
-    return stats.acf(daily_facts(spark, sf), ["prio"], ["d"], "qty").withColumn("acf", r4("acf", 5))
+    return stats.acf(daily_facts(spark, sf), ["prio"], ["d"], "qty", split=False).withColumn("acf", r4("acf", 5))
 
 
 @query("m13_decompose", f"""
@@ -461,7 +461,7 @@ def m13(spark, sf):
 
     spine = calendar_of(table(spark, sf, "orders"), "o_orderdate", "d")
     x = align_to_spine(daily_facts(spark, sf), spine, "d", ["prio"]).fillna(0.0, ["qty"])
-    out = stats.decompose(x, ["prio"], ["d"], "qty", 12)
+    out = stats.decompose(x, ["prio"], ["d"], "qty", 12, split=False)
     return out.select("prio", "d", *[r4(c).alias(c) for c in ("trend", "seasonal", "remainder")])
 
 

@@ -190,7 +190,7 @@ def e20(spark, sf):
 WITH {DAILY_CTE} SELECT prio, d, qty, lag(qty, 7) OVER w AS qty_lag_7, lag(qty, 14) OVER w AS qty_lag_14 FROM panel
 WINDOW w AS (PARTITION BY prio ORDER BY d)""")
 def f1(spark, sf):
-    return windows.add_lags(daily_panel(spark, sf), ["prio"], ["d"], "qty", [7, 14])
+    return windows.add_lags(daily_panel(spark, sf), ["prio"], ["d"], "qty", [7, 14], split=False)
 
 
 @query("f2_leads", """
@@ -205,7 +205,7 @@ def f2(spark, sf):
 @query("f3_rolling_mean", f"""
 WITH {DAILY_CTE} SELECT prio, d, round(AVG(qty) OVER (PARTITION BY prio ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS qty_mean_7 FROM panel""")
 def f3(spark, sf):
-    out = windows.rolling_mean(daily_panel(spark, sf), ["prio"], ["d"], "qty", 7)
+    out = windows.rolling_mean(daily_panel(spark, sf), ["prio"], ["d"], "qty", 7, split=False)
     return out.select("prio", "d", r4("qty_mean_7", 6).alias("qty_mean_7"))
 
 
@@ -220,14 +220,14 @@ def f4(spark, sf):
 WITH {DAILY_CTE} SELECT prio, d, COALESCE(last_value(qty IGNORE NULLS) OVER (PARTITION BY prio ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
     first_value(qty IGNORE NULLS) OVER (PARTITION BY prio ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS qty FROM panel""")
 def f5(spark, sf):
-    return windows.fill(daily_panel(spark, sf), ["prio"], ["d"], "qty", "downup")
+    return windows.fill(daily_panel(spark, sf), ["prio"], ["d"], "qty", "downup", split=False)
 
 
 @query("f5_fill_backward", f"""
 WITH {DAILY_CTE} SELECT prio, d,
     first_value(qty IGNORE NULLS) OVER (PARTITION BY prio ORDER BY d ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS qty FROM panel""")
 def f5b(spark, sf):
-    return windows.fill(daily_panel(spark, sf), ["prio"], ["d"], "qty", "backward")
+    return windows.fill(daily_panel(spark, sf), ["prio"], ["d"], "qty", "backward", split=False)
 
 
 @query("f6_row_number", """
@@ -277,7 +277,7 @@ def f10(spark, sf):
     panel = daily_panel(spark, sf)
     first = panel.agg(F.min("d")).scalar()
     x = panel.withColumn("x", F.datediff("d", first).cast("double")).withColumn("qty", F.log1p("qty"))
-    return windows.smooth_local(x, ["prio"], ["d"], "x", "qty", 15).select("prio", "d", r4("smooth", 5).alias("smooth"))
+    return windows.smooth_local(x, ["prio"], ["d"], "x", "qty", 15, split=False).select("prio", "d", r4("smooth", 5).alias("smooth"))
 
 
 # ---- sorts and top-k
