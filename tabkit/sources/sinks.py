@@ -16,7 +16,7 @@ def write_table(df: DataFrame, path: str, parts: int | None = None) -> str:
     that grow with the data, since one file is written by one task.
     """
     out = df if parts is None else df.repartition(parts)
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
     return path
 
 
