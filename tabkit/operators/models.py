@@ -223,7 +223,7 @@ def permutation_importance(model: PipelineModel, df: DataFrame, key: str, y: str
     column once; the join is written once and scored column by column.
     """
     names = list(names)
-    a = with_position(df.select(key, y, *names), [key], name="_at", span_rows=span_rows)
+    a = with_position(df, [key], name="_at", span_rows=span_rows)
     b = with_position(df.select(key, *[F.col(c).alias(f"_s_{c}") for c in names]),
                       [hash_text(F.col(key), seed=seed), key], name="_at", span_rows=span_rows).drop(key)
     both = checkpointed(a.join(b, "_at"))

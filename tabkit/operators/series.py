@@ -135,6 +135,8 @@ def forecast_groups(train: DataFrame, test: DataFrame, keys, date: str, y: str,
     inverts it. Missing regressors count as zero. 'seasonal_naive' needs no such task.
     """
     keys, regressors = list(keys), list(regressors)
+    if method not in ("arx", "additive", "seasonal_naive"):
+        raise ValueError(f"unknown method {method!r}")
     if method == "seasonal_naive":
         return seasonal_naive(train, test, keys, date, y, season)
     cols = [*keys, date, y, *regressors]
@@ -158,11 +160,9 @@ def forecast_groups(train: DataFrame, test: DataFrame, keys, date: str, y: str,
         r = pdf[regressors].fillna(0.0).to_numpy(float).reshape(len(pdf), len(regressors))
         if method == "arx":
             out = arx_forecast(target, r[~new], r[new], **options)
-        elif method == "additive":
+        else:
             day = pdf["_day"].to_numpy(float)
             out = additive_forecast(day[~new], target, r[~new], day[new], r[new], **options)
-        else:
-            raise ValueError(f"unknown method {method!r}")
         return pdf.loc[new, [*keys, date]].assign(prediction=np.expm1(out) if log else out)
 
     got = both.groupBy(*keys).applyInPandas(solve, schema + ", prediction double")
