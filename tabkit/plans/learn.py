@@ -334,7 +334,7 @@ cells AS (SELECT DISTINCT u, t, 1 AS e FROM fl JOIN sg USING (u) WHERE single UN
 ug AS (SELECT DISTINCT u, UNNEST(gs) AS g FROM fl), known AS (SELECT u, g, t, e, COUNT(*) AS known FROM w JOIN good USING (i) GROUP BY 1, 2, 3, 4),
 op AS (SELECT c.u, s.g, s.t, s.e, s.size, COALESCE(k.known, 0) AS known FROM cells c JOIN shelves s ON s.t = c.t AND s.e = c.e JOIN ug ON ug.u = c.u AND ug.g = s.g
   LEFT JOIN known k ON k.u = c.u AND k.g = s.g AND k.t = s.t AND k.e = s.e),
-bf AS (SELECT *, COALESCE(SUM(size - known) OVER (PARTITION BY u ORDER BY md5('0:' || u || ':' || g || ':' || t || ':' || e), g, t, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM op WHERE size > known),
+bf AS (SELECT *, COALESCE(SUM(size - known) OVER (PARTITION BY u ORDER BY md5('0:' || u || ':' || t || ':' || e), t, e, md5('0:' || u || ':' || g || ':' || t || ':' || e), g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM op WHERE size > known),
 kept AS (SELECT *, CAST(floor({unit_sql('u', 0)} * size) AS BIGINT) AS start FROM bf WHERE before < 3 * (SELECT MAX(len(gs)) FROM cat WHERE r >= 5)),
 cand AS (SELECT k.u, k.g, k.t, k.e, p.i, row_number() OVER (PARTITION BY k.u, k.g, k.t, k.e ORDER BY (p.pos - k.start + k.size) % k.size) AS r FROM kept k JOIN placed p ON p.g = k.g AND p.t = k.t AND p.e = k.e
   WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.u = k.u AND w.i = p.i)),

@@ -109,6 +109,8 @@ def test_hybrid_rules(spark):
     idf = spark.createDataFrame(items, "item int, genres array<string>, kind string, episodes int, rating double")
     sdf = spark.createDataFrame(seen, "user int, item int")
     got = {}
+    found = rows(recommend.hybrid_recommend(sdf, idf, 3, seed=3))
+    assert found == rows(recommend.hybrid_recommend(sdf, idf, 3, seed=3, first_cells=1))
     for r in recommend.hybrid_recommend(sdf, idf, 3, seed=3).collect():
         got.setdefault(r["user"], set()).add(r["item"])
     meta = {i[0]: i for i in items}
