@@ -72,13 +72,13 @@ placed AS (SELECT prio, d, qty, row_number() OVER (PARTITION BY prio ORDER BY d)
 ends AS (SELECT *, last_value(CASE WHEN qty IS NOT NULL THEN x END IGNORE NULLS) OVER b AS x0, last_value(qty IGNORE NULLS) OVER b AS y0,
   first_value(CASE WHEN qty IS NOT NULL THEN x END IGNORE NULLS) OVER a AS x1, first_value(qty IGNORE NULLS) OVER a AS y1 FROM placed
   WINDOW b AS (PARTITION BY prio ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY prio ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-filled AS (SELECT prio, d, round(COALESCE(qty, y0 + (y1 - y0) * ((x - x0) / NULLIF(CAST(x1 - x0 AS DOUBLE), 0)), y1, y0), 4) AS qty FROM ends),
+filled AS (SELECT prio, d, round(COALESCE(qty, y0 + (y1 - y0) * ((x - x0) / NULLIF(CAST(x1 - x0 AS DOUBLE), 0)), y1, y0), 6) AS qty FROM ends),
 lagged AS (SELECT prio, d, qty, CASE WHEN d >= (SELECT cut FROM lim) THEN 'test' ELSE 'train' END AS data_type, lag(qty, 7) OVER o AS qty_lag_7, lag(qty, 14) OVER o AS qty_lag_14,
-  round(AVG(qty) OVER (PARTITION BY prio ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 3) AS qty_mean_7 FROM filled WINDOW o AS (PARTITION BY prio ORDER BY d))"""
+  round(AVG(qty) OVER (PARTITION BY prio ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 8) AS qty_mean_7 FROM filled WINDOW o AS (PARTITION BY prio ORDER BY d))"""
 
 
 def _filled_panel(spark, sf):
-    filled = impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "linear", split=False).withColumn("qty", r4("qty"))
+    filled = impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "linear", split=False).withColumn("qty", r4("qty", 6))
     cut = table(spark, sf, "orders").agg(F.date_sub(F.max(F.to_date("o_orderdate")), 15)).scalar()
     return filled.withColumn("data_type", F.when(F.col("d") >= cut, "test").otherwise("train"))
 
@@ -88,7 +88,7 @@ WITH {_TAGGED} SELECT prio, d, qty, data_type, qty_lag_7, qty_lag_14, qty_mean_7
  strftime(d, '%Y-%m') AS yr_month, CAST(dayofyear(d) AS INTEGER) AS yday FROM lagged WHERE data_type = 'test' OR (qty_lag_7 IS NOT NULL AND qty_lag_14 IS NOT NULL)""")
 def q4(spark, sf):
     panel = encode.calendar_features(_filled_panel(spark, sf), "d")
-    panel = windows.rolling_mean(panel, ["prio"], ["d"], "qty", 7, split=False).withColumn("qty_mean_7", r4("qty_mean_7", 3))
+    panel = windows.rolling_mean(panel, ["prio"], ["d"], "qty", 7, split=False).withColumn("qty_mean_7", r4("qty_mean_7", 8))
     return series.lag_features(panel, ["prio"], ["d"], "qty", [7, 14], split=False)
 
 

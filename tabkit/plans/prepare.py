@@ -72,10 +72,10 @@ SELECT prio, d, {select} AS qty FROM unit"""
 
 
 @query("k5_pchip", _series_sql("""round(COALESCE(qty, y0 * (1 + 2 * t) * (1 - t) * (1 - t) + h * m0 * t * (1 - t) * (1 - t)
-  + y1 * t * t * (3 - 2 * t) + h * m1 * t * t * (t - 1), y1, y0), 3)"""))
+  + y1 * t * t * (3 - 2 * t) + h * m1 * t * t * (t - 1), y1, y0), 5)"""))
 def k5(spark, sf):
     out = impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "pchip", split=False)
-    return out.withColumn("qty", r4("qty", 3))
+    return out.withColumn("qty", r4("qty", 5))
 
 
 @query("k6_spline")
@@ -83,10 +83,10 @@ def k6(spark, sf):
     return impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "spline", 2, split=False)
 
 
-@query("k7_linear", _series_sql("round(COALESCE(qty, y0 + (y1 - y0) * t, y1, y0), 4)"))
+@query("k7_linear", _series_sql("round(COALESCE(qty, y0 + (y1 - y0) * t, y1, y0), 6)"))
 def k7(spark, sf):
     out = impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "linear", split=False)
-    return out.withColumn("qty", r4("qty"))
+    return out.withColumn("qty", r4("qty", 6))
 
 
 @query("k8_zero_when_no_sales", f"""

@@ -374,7 +374,7 @@ def d5(spark, sf):
 
 
 @query("d6_star_join", """
-SELECT r_name, n_name, p_type, CAST(YEAR(o_orderdate) AS INTEGER) AS year, COUNT(*) AS n, round(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue
+SELECT r_name, n_name, p_type, CAST(YEAR(o_orderdate) AS INTEGER) AS year, COUNT(*) AS n, round(SUM(l_extendedprice * (1 - l_discount)), 4) AS revenue
 FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey
 LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN part ON l_partkey = p_partkey
 GROUP BY 1, 2, 3, 4""")
@@ -389,7 +389,7 @@ def d6(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
     full = joins.enrich(lines, [(orders, "l_orderkey"), (customer, "o_custkey"), (place, "c_nationkey"), (part, "l_partkey")])
     return full.groupBy("r_name", "n_name", "p_type", "year").agg(
-        F.count(F.lit(1)).alias("n"), r4(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+        F.count(F.lit(1)).alias("n"), r4(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))).alias("revenue"))
 
 
 @query("d7_align_to_spine", f"WITH {DAILY_CTE} SELECT k.prio, s.d, f.qty FROM (SELECT DISTINCT prio FROM facts) k CROSS JOIN spine s "
