@@ -115,11 +115,13 @@ def fill(df: DataFrame, keys, order, cols, how: str = "forward", span_rows: int
     steps = {"forward": ["f"], "backward": ["b"], "downup": ["f", "b"], "updown": ["b", "f"]}[how]
     keys, order = list(keys), as_columns(order)
     if not (needs_split(df, keys, span_rows) if split is None else split):
-        w = W.partitionBy(*keys).orderBy(*order)
-        sides = {"f": w.rowsBetween(W.unboundedPreceding, 0), "b": w.rowsBetween(0, W.unboundedFollowing)}
-        picks = {"f": lambda c: F.last(c, ignorenulls=True), "b": lambda c: F.first(c, ignorenulls=True)}
-        return df.withColumns({
-            c: F.coalesce(*[picks[s](c).over(sides[s]) for s in steps]) for c in cols})
+        # A frame that ends at the last row is summed anew for every row, so the backward
+        # step runs down the positions with a frame that only grows.
+        placed = df.withColumn("_pos", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+        sides = {"f": W.partitionBy(*keys).orderBy("_pos"), "b": W.partitionBy(*keys).orderBy(F.desc("_pos"))}
+        return placed.withColumns({c: F.coalesce(*[
+            F.last(c, ignorenulls=True).over(sides[s].rowsBetween(W.unboundedPreceding, 0)) for s in steps
+        ]) for c in cols}).drop("_pos")
     out = with_position(df, order, keys, "_pos", span_rows, True)
     out = out.withColumn("_block", F.floor((F.col("_pos") - 1) / span_rows).cast("bigint"))
     for step in steps:
@@ -132,14 +134,12 @@ def _fill_blocks(df, keys, cols, step) -> DataFrame:
     seen = [F.when(F.col(c).isNotNull(), F.col("_pos")) for c in cols]
     edge = F.max_by if forward else F.min_by
     edges = df.groupBy(*keys, "_block").agg(*[edge(c, s).alias(f"_edge_{c}") for c, s in zip(cols, seen)])
-    wk = W.partitionBy(*keys).orderBy("_block")
-    wk = wk.rowsBetween(W.unboundedPreceding, -1) if forward else wk.rowsBetween(1, W.unboundedFollowing)
-    pick = F.last if forward else F.first
+    along = (lambda c: F.col(c)) if forward else F.desc
+    wk = W.partitionBy(*keys).orderBy(along("_block")).rowsBetween(W.unboundedPreceding, -1)
     carry = edges.select(*keys, "_block", *[
-        pick(f"_edge_{c}", ignorenulls=True).over(wk).alias(f"_carry_{c}") for c in cols])
-    wb = W.partitionBy(*keys, "_block").orderBy("_pos")
-    wb = wb.rowsBetween(W.unboundedPreceding, 0) if forward else wb.rowsBetween(0, W.unboundedFollowing)
-    local = df.withColumns({c: pick(c, ignorenulls=True).over(wb) for c in cols})
+        F.last(f"_edge_{c}", ignorenulls=True).over(wk).alias(f"_carry_{c}") for c in cols])
+    wb = W.partitionBy(*keys, "_block").orderBy(along("_pos")).rowsBetween(W.unboundedPreceding, 0)
+    local = df.withColumns({c: F.last(c, ignorenulls=True).over(wb) for c in cols})
     out = null_safe_join(local, carry, [*keys, "_block"])
     return out.withColumns({c: F.coalesce(F.col(c), F.col(f"_carry_{c}")) for c in cols}).drop(
         *[f"_carry_{c}" for c in cols])
