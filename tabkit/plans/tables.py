@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from tabkit.functions import scalars as S
 from tabkit.operators import agg, columns, joins, rows
-from tabkit.plans.registry import (CUSTOMER_GAPS, DAILY_CTE, DAILY_FACTS, customer_gaps, daily_facts,
+from tabkit.plans.registry import (CUSTOMER_GAPS, DAILY_CTE, customer_gaps, daily_facts,
                                    hash_sql, query, r4, table, unit_sql)
 from tabkit.sources import calendars, readers, sinks, workspace
 
