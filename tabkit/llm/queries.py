@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabkit.llm import packing, tokens
+from tabkit.llm import packing, quality, tokens
 from tabkit.sources.workspace import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,13 @@ def op2_best_two_fit(spark, folder):
     return places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op5_ngram_ratio(spark, folder):
+    """Every document's counts, n-gram log-likelihood ratio and verdict."""
+    scored = quality.quality_scores(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels"))
+    return scored.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
+
+
 @query
 def op9_token_table(spark, folder):
     """Every document's token ids written to Parquet and read back."""
