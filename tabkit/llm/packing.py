@@ -105,7 +105,7 @@ def write_pieces(docs: DataFrame, path: str, tokenizer: str, end_id: int, capaci
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, part = Encoder(definition.value), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for batch in blocks(batches, limit=16 << 20):
+        for batch in blocks(batches, limit=6 << 20):
             ids, counts = with_end(*encoder.encode(batch.column("text")), end_id)
             n = -(-counts // capacity)
             row = np.repeat(np.arange(len(counts)), n)

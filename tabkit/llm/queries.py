@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabkit.llm import packing, quality, tokens
+from tabkit.llm import packing, quality, tokens, toxicity
 from tabkit.sources.workspace import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,13 @@ def op5_ngram_ratio(spark, folder):
     return scored.select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
 
 
+@query
+def op6_nearest_labelled(spark, folder):
+    """Every document's toxicity score from its nearest labelled examples."""
+    scored = toxicity.toxicity_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op9_token_table(spark, folder):
     """Every document's token ids written to Parquet and read back."""

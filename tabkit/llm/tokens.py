@@ -149,7 +149,7 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str, end_id: int, *
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, before, part = Encoder(definition.value), 0, TaskContext.get().partitionId()
-        for batch in blocks(batches, limit=16 << 20):
+        for batch in blocks(batches, limit=6 << 20):
             ids, counts = with_end(*encoder.encode(batch.column("text")), end_id)
             first = before + np.cumsum(counts) - counts
             before += int(counts.sum())
