@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples under exact TF-IDF cosine.
 
 Examples are a bounded sample of the labelled rows (``examples`` per class, smallest hashes of
-doc_id first). Terms are words without outer punctuation, in lower case, and their first four,
-five and six bytes; the ``terms`` of them most associated with the label in the examples make the
-vectors, and their document frequencies are counted over all documents. The index has, for each
+doc_id first). Terms are words without outer punctuation, in lower case, and their first four to nine
+bytes, each also as a term of its own where it stands twice, three or five times in a text; the
+``terms`` of them most associated with the label in the examples make the vectors, and their
+document frequencies are counted over all documents. The index has, for each
 term and block of examples, the postings and their largest weight. A query takes blocks by the
 bound that these maxima give and stops when no other block can hold one of its ``k`` nearest, so
 the neighbours are exact. Votes are weighted by similarity and calibrated on the examples, each
@@ -19,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabkit.llm.texts import blocks, distinct_pairs, lower_ascii, mixed, prefix_sums, raw, span_hashes, words
+from tabkit.llm.texts import blocks, lower_ascii, mixed, prefix_sums, raw, span_hashes, words
 from tabkit.sources.workspace import ship_package
 
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8, 9)
+LEVELS = (1, 2, 3, 5)
 TRIMMED = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
 BLOCK = 64
 
@@ -45,8 +47,12 @@ def term_rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Vocabulary:
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes.astype(np.uint64))
+    """Chosen terms: a hash, and the occurrences from which on the term is there."""
+
+    def __init__(self, hashes: np.ndarray, levels: np.ndarray):
+        self.hashes, at = np.unique(hashes.astype(np.uint64), return_inverse=True)
+        self.number = np.full((len(self.hashes) + 1, len(LEVELS)), -1)
+        self.number[at, np.searchsorted(LEVELS, levels)] = np.arange(len(hashes))
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
@@ -58,15 +64,23 @@ class Vocabulary:
         at = np.searchsorted(self.hashes, term)
         keep = at < len(self.hashes)
         keep[keep] = self.hashes[at[keep]] == term[keep]
-        key, n = np.unique(doc[keep] * np.int64(max(1, len(self.hashes))) + at[keep], return_counts=True)
-        return *np.divmod(key, max(1, len(self.hashes))), n
-
-
-def unit(doc: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray, documents: int) -> np.ndarray:
-    """TF-IDF weights of unit length per document."""
+        size = np.int64(len(self.hashes) + 1)
+        key, n = np.unique(doc[keep] * size + at[keep], return_counts=True)
+        doc, at = np.divmod(key, size)
+        out = []
+        for column, level in enumerate(LEVELS):
+            own = (n >= level) & (self.number[at, column] >= 0)
+            out.append((doc[own], self.number[at[own], column], n[own] if level == 1 else np.ones(own.sum(), np.int64)))
+        doc, term, n = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((term, doc))
+        return doc[order], term[order], n[order]
+
+
+def unit(doc: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """TF-IDF weights of unit length per document, and the length that each document had."""
     w = (1 + np.log(n)) * idf[term] if len(n) else np.zeros(0)
     length = np.sqrt(np.bincount(doc, weights=w * w, minlength=documents))
-    return w / length[doc] if len(n) else w
+    return (w / length[doc] if len(n) else w), length
 
 
 def expanded(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,18 +148,26 @@ def votes(who: np.ndarray, best: np.ndarray, toxic: np.ndarray, base: float, pri
     return (yes + prior * base) / (near.sum(1) + prior)
 
 
-def calibration(vote: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a weighted logistic curve, with a slight pull to a slope of 8 from 0.5."""
-    theta, pull = np.array([8.0, -4.0]), 1.0
-    x = np.stack([vote, np.ones_like(vote)], 1)
+def seen_by(vote: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """What the calibration sees: the vote, how much text backs it, and both together."""
+    backing = np.log1p(length)
+    return np.stack([vote, backing, vote * backing, np.ones_like(vote)], 1)
+
+
+START = np.array([8.0, 0.0, 0.0, -4.0])
+
+
+def calibration(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Coefficients of a weighted logistic curve, with a slight pull to a plain one in the vote."""
+    theta, pull = START.copy(), 0.3
     for _ in range(50):
-        p = 1 / (1 + np.exp(-x @ theta))
-        gradient = x.T @ (weight * (toxic - p)) - pull * (theta - [8.0, -4.0])
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + pull * np.eye(2), gradient)
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        gradient = x.T @ (weight * (toxic - p)) - pull * (theta - START)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(START)), gradient)
         theta = theta + step
         if np.abs(step).max() < 1e-8:
             break
-    return float(theta[0]), float(theta[1])
+    return theta
 
 
 def held_out(doc_id):
@@ -161,7 +183,7 @@ def association(yes, no, all_yes: int, all_no: int):
     return 2 * (part(yes, all_yes) + part(no, all_no) + rest(yes, all_yes) + rest(no, all_no))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, terms: int = 2048, least: float = 12.0, k: int = 16):
+def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, terms: int = 4096, least: float = 20.0, k: int = 16):
     """The index and all that scoring needs; at most 2 * ``examples`` rows and ``terms`` terms reach the driver."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -176,18 +198,26 @@ def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, terms: int
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
-            doc, term = distinct_pairs(*term_rows(batch))
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), batch.column("toxic").take(pa.array(doc))], ["term", "toxic"])
+            doc, term = term_rows(batch)
+            order = np.lexsort((term, doc))
+            doc, term = doc[order], term[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])])[:len(doc)])
+            n = np.diff(np.append(first, len(doc)))
+            for level in LEVELS:
+                at = first[n >= level]
+                yield pa.RecordBatch.from_arrays([pa.array(term[at].view(np.int64)), pa.array(np.full(len(at), level, np.int32)),
+                                                  batch.column("toxic").take(pa.array(doc[at]))], ["term", "level", "toxic"])
 
     n = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     yes, no = n.get(1, 0), n.get(0, 0)
-    hashes = np.zeros(0, np.int64)
+    top = []
     if yes and no:
-        counts = (texts.mapInArrow(found, "term long, toxic int").groupBy("term")
+        counts = (texts.mapInArrow(found, "term long, level int, toxic int").groupBy("term", "level")
                   .agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no"))
                   .withColumn("g", association(F.col("yes"), F.col("no"), yes, no)).filter(F.col("g") >= least))
-        hashes = np.array([r["term"] for r in counts.orderBy(F.desc("g"), "term").limit(terms).collect()], np.int64)
-    vocabulary = Vocabulary(hashes.view(np.uint64))
+        top = counts.orderBy(F.desc("g"), "term", "level").limit(terms).collect()
+    hashes = np.array([r["term"] for r in top], np.int64)
+    vocabulary = Vocabulary(hashes.view(np.uint64), np.array([r["level"] for r in top], np.int64))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(len(hashes), np.int64), 0
@@ -213,12 +243,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, examples: int = 1500, terms: int
     name = np.array([r["doc_id"] for r in rows], np.int64)
     doc = np.repeat(np.arange(len(rows)), [len(r["term"]) for r in rows]).astype(np.int64)
     term = np.array([t for r in rows for t in r["term"]], np.int64)
-    weight = unit(doc, term, np.array([x for r in rows for x in r["n"]], np.int64), idf, len(rows))
+    weight, length = unit(doc, term, np.array([x for r in rows for x in r["n"]], np.int64), idf, len(rows))
     index = BlockMaxIndex(doc, term, weight, len(rows), len(hashes))
     who, best = index.nearest(doc, term, weight, len(rows), k, but=np.arange(len(rows)))
     vote = votes(who, best, toxic, share)
     balance = np.where(toxic == 1, share / max(yes, 1), (1 - share) / max(no, 1)) * len(rows)
-    curve = calibration(vote, toxic, balance) if yes and no else (8.0, -4.0)
+    curve = calibration(seen_by(vote, length), toxic, balance) if yes and no else START
     return vocabulary, idf, index, toxic, name, share, curve
 
 
@@ -230,15 +260,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, k: int = 16, evidence
     columns are not read. Rows with null doc_id are scored and count as not held out.
     """
     spark = docs.sparkSession
-    vocabulary, idf, index, toxic, name, share, (slope, intercept) = fit(docs, labels, k=k, **fitting)
+    vocabulary, idf, index, toxic, name, share, curve = fit(docs, labels, k=k, **fitting)
     model = spark.sparkContext.broadcast((vocabulary, idf, index, toxic, name))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, idf, index, toxic, name = model.value
         for batch in blocks(batches):
             doc, term, n = vocabulary.counted(batch)
-            who, best = index.nearest(doc, term, unit(doc, term, n, idf, batch.num_rows), batch.num_rows, k)
-            out = 1 / (1 + np.exp(-(slope * votes(who, best, toxic, share) + intercept))) if len(toxic) else np.full(batch.num_rows, 0.0)
+            weight, length = unit(doc, term, n, idf, batch.num_rows)
+            who, best = index.nearest(doc, term, weight, batch.num_rows, k)
+            vote = votes(who, best, toxic, share) if len(toxic) else np.full(batch.num_rows, share)
+            out = 1 / (1 + np.exp(-np.clip(seen_by(vote, length) @ curve, -30, 30)))
             shown = who[:, :evidence]
             first = np.concatenate([[0], np.cumsum((shown >= 0).sum(1))]).astype(np.int32)
             at = shown[shown >= 0]
