@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabkit.llm import packing, quality, tokens, toxicity
+from tabkit.llm import packing, quality, repeats, tokens, toxicity
 from tabkit.sources.workspace import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,3 +50,9 @@ def op9_token_table(spark, folder):
     path = new_path(spark, "tokens")
     tokens.write_token_table(table(spark, folder, "documents"), path, BYTE_BPE, end_id=0)
     return tokens.token_digest(spark, path)
+
+
+@query
+def op10_repeated_passages(spark, folder):
+    """Every document without the bytes of 200-byte strings that start anywhere else."""
+    return repeats.without_repeats(table(spark, folder, "documents"), 200)
