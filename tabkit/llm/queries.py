@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabkit.llm import packing, quality, repeats, tokens, toxicity
+from tabkit.llm import jaccard_join, packing, quality, repeats, tokens, toxicity
 from tabkit.sources.workspace import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,12 @@ def op6_nearest_labelled(spark, folder):
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op8_universe_partition(spark, folder):
+    """Every document's shingle count and component of near duplicates."""
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
+
+
 @query
 def op9_token_table(spark, folder):
     """Every document's token ids written to Parquet and read back."""
