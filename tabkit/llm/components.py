@@ -47,3 +47,82 @@ def least_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the least by ``order``."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+
+
+def renamed(rows: DataFrame, name: str, check: str, pairs: DataFrame, members: DataFrame):
+    """Give a name of its own to each text where one 64-bit name stands for several.
+
+    ``check`` is a second hash. Returns a function that renames a frame with both columns, and
+    ``pairs`` (a, b, votes) and ``members`` (group, c, n) with every text of a shared name in its place.
+    """
+    seen = rows.groupBy(name).agg(F.min(check).alias("p"), F.max(check).alias("q")).filter("p <> q").select(F.col(name).alias("shared"))
+    seen = checkpointed(seen)
+    if not seen.limit(1).count():
+        return (lambda df: df), pairs, members
+    own = lambda df: F.xxhash64(df[name], df[check])
+
+    def rename(df):
+        return df.join(seen, df[name] == seen["shared"], "left").withColumn(name, F.when(F.col("shared").isNotNull(), own(df)).otherwise(df[name])).drop("shared")
+
+    texts = checkpointed(rows.join(seen, rows[name] == seen["shared"]).select("shared", own(rows).alias("text_name")).distinct())
+
+    def replace(df, column):
+        return (df.join(texts, df[column] == texts["shared"], "left").withColumn(column, F.coalesce("text_name", df[column])).drop("shared", "text_name"))
+
+    among = texts.select("shared", F.col("text_name").alias("a")).join(texts.select("shared", F.col("text_name").alias("b")), "shared").filter("a < b")
+    pairs = replace(replace(pairs, "a"), "b").unionByName(among.select("a", "b", F.lit(1).cast("long").alias("votes")))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "votes")
+    return rename, pairs, replace(members, "c")
+
+
+def all_links(pairs: DataFrame, members: DataFrame, verify, dense: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Verified links that connect all that candidates connect, and the components' labels.
+
+    ``pairs`` (a, b, votes) are candidates; ``members`` (group, c, n) are groups too large to list in
+    pairs, ``n`` the set size that bounds a similarity. Each text first tries its candidate with
+    most votes. Then, until nothing is left, candidates between different components are tried:
+    all open pairs, and of groups with several components one star each while listing their pairs
+    would take more than ``dense`` rows a member, and all of them after that.
+    """
+    best = (pairs.select(F.explode(F.array(F.struct(F.col("b").alias("c"), F.col("a").alias("d"), "votes"),
+                                           F.struct(F.col("a").alias("c"), F.col("b").alias("d"), "votes"))).alias("x")).select("x.*")
+            .groupBy("c").agg(F.max(F.struct("votes", F.col("d").alias("d"))).alias("top"))
+            .select(F.least("c", "top.d").alias("a"), F.greatest("c", "top.d").alias("b")).distinct())
+    tried = checkpointed(best)
+    links = checkpointed(verify(tried))
+    grouped = members.limit(1).count() > 0
+    while True:
+        labels = components(links)
+
+        def mark(df, c, labels=labels):
+            own = labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
+            return df.join(own, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
+
+        more = mark(mark(pairs.select("a", "b"), "a"), "b").filter("a_label <> b_label").select("a", "b")
+        crowded = False
+        if grouped:
+            own = mark(members, "c")
+            apart = own.groupBy("group").agg(F.min("c_label").alias("p"), F.max("c_label").alias("q"), F.min(F.struct("c_label", "c", "n")).alias("centre"),
+                                             F.count("*").alias("size")).filter("p <> q")
+            own = checkpointed(own.join(apart.select("group", "centre", "size"), "group"))
+            total = own.agg(F.count("*").alias("n"), F.sum("size").alias("pairs")).first()
+            crowded = bool(total["n"]) and total["pairs"] > dense * total["n"]
+            if crowded:
+                listed = own.select(F.col("centre.c").alias("x"), F.col("c").alias("y"), F.col("centre.n").alias("xn"), F.col("n").alias("yn"),
+                                    F.col("centre.c_label").alias("xl"), F.col("c_label").alias("yl"))
+            else:
+                listed = (own.select("group", F.col("c").alias("x"), F.col("n").alias("xn"), F.col("c_label").alias("xl"))
+                          .join(own.select("group", F.col("c").alias("y"), F.col("n").alias("yn"), F.col("c_label").alias("yl")), "group").filter("x < y"))
+            more = more.unionByName(listed.filter("xl <> yl AND 100 * least(xn, yn) >= 80 * greatest(xn, yn)")
+                                    .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+        new = checkpointed(more.distinct().join(tried, ["a", "b"], "left_anti"))
+        if not new.limit(1).count():
+            if not crowded:
+                return links, labels
+            dense = 1 << 62                                 # the stars are exhausted: list what is left
+            continue
+        found = checkpointed(verify(new))
+        links = checkpointed(links.unionByName(found))
+        if not crowded:
+            return links, components(links)
+        tried = checkpointed(tried.unionByName(new))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabkit.llm import jaccard_join, packing, quality, repeats, tokens, toxicity
+from tabkit.llm import jaccard_join, packing, pii, quality, repeats, secrets, tokens, toxicity
 from tabkit.sources.workspace import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,18 @@ def op2_best_two_fit(spark, folder):
     return places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op3_randomness_battery(spark, folder):
+    """Secrets in every document: known forms and tokens as random as keys."""
+    return secrets.secret_spans(table(spark, folder, "documents"))
+
+
+@query
+def op4_boosted_candidates(spark, folder):
+    """Personal data in every document: known forms and chosen candidates."""
+    return pii.personal_spans(table(spark, folder, "documents"))
+
+
 @query
 def op5_ngram_ratio(spark, folder):
     """Every document's counts, n-gram log-likelihood ratio and verdict."""
