@@ -53,7 +53,7 @@ def renamed(rows: DataFrame, name: str, check: str, pairs: DataFrame, members: D
     """Give a name of its own to each text where one 64-bit name stands for several.
 
     ``check`` is a second hash. Returns a function that renames a frame with both columns, and
-    ``pairs`` (a, b, votes) and ``members`` (group, c, n) with every text of a shared name in its place.
+    ``pairs`` (a, b, votes) and ``members`` (group, c, ...) with every text of a shared name in its place.
     """
     seen = rows.groupBy(name).agg(F.min(check).alias("p"), F.max(check).alias("q")).filter("p <> q").select(F.col(name).alias("shared"))
     seen = checkpointed(seen)
@@ -78,9 +78,10 @@ def renamed(rows: DataFrame, name: str, check: str, pairs: DataFrame, members: D
 def all_links(pairs: DataFrame, members: DataFrame, verify, dense: int = 20) -> tuple[DataFrame, DataFrame]:
     """Verified links that connect all that candidates connect, and the components' labels.
 
-    ``pairs`` (a, b, votes) are candidates; ``members`` (group, c, n) are groups too large to list in
-    pairs, ``n`` the set size that bounds a similarity. Each text first tries its candidate with
-    most votes. Then, until nothing is left, candidates between different components are tried:
+    ``pairs`` (a, b, votes) are candidates; ``members`` (group, c, n, way, spare) are groups too large
+    to list in pairs, ``n`` the set size that bounds a similarity. A text may leave its groups of
+    a ``way`` if no more than ``spare`` of them hold several components: then it meets whom it must elsewhere.
+    Each text first tries its candidate with most votes. Then, until nothing is left, candidates between different components are tried:
     all open pairs, and of groups with several components one star each while listing their pairs
     would take more than ``dense`` rows a member, and all of them after that.
     """
@@ -102,6 +103,10 @@ def all_links(pairs: DataFrame, members: DataFrame, verify, dense: int = 20) ->
         crowded = False
         if grouped:
             own = mark(members, "c")
+            several = own.groupBy("group").agg(F.min("c_label").alias("p"), F.max("c_label").alias("q")).filter("p <> q").select("group")
+            own = checkpointed(own.join(several, "group"))
+            times = own.groupBy("c", "way").agg(F.count("*").alias("times"))
+            own = own.join(times, ["c", "way"]).filter("times > spare").select("group", "c", "n", "c_label").distinct()
             apart = own.groupBy("group").agg(F.min("c_label").alias("p"), F.max("c_label").alias("q"), F.min(F.struct("c_label", "c", "n")).alias("centre"),
                                              F.count("*").alias("size")).filter("p <> q")
             own = checkpointed(own.join(apart.select("group", "centre", "size"), "group"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabkit.llm import jaccard_join, packing, pii, quality, repeats, secrets, tokens, toxicity
+from tabkit.llm import decontaminate, jaccard_join, lines, packing, pii, quality, repeats, secrets, tokens, toxicity
 from tabkit.sources.workspace import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_containment_search(spark, folder):
+    """Every document with every benchmark item that it holds."""
+    return decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+ORACLES["op1_containment_search"] = decontaminate.CONTAINED_SQL
+
+
 @query
 def op2_best_two_fit(spark, folder):
     """Every document packed into sequences of at most 1024 tokens."""
@@ -56,6 +65,13 @@ def op6_nearest_labelled(spark, folder):
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+@query
+def op7_fuzzy_lines(spark, folder):
+    """Every document's lines that repeat or nearly repeat an earlier one anywhere."""
+    docs = table(spark, folder, "documents")
+    return lines.line_counts(docs, lines.removed_lines(docs))
+
+
 @query
 def op8_universe_partition(spark, folder):
     """Every document's shingle count and component of near duplicates."""
