@@ -20,21 +20,26 @@ from tabkit.sources.workspace import checkpointed, new_path
 SIZE = 5
 
 
+def settled(value: Column) -> Column:
+    """The value, marked as not repeatable, so that no filter or lambda computes it again from its parts."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def word_list(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return settled(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 
 
 def shingle_hashes(words: str) -> Column:
     """Distinct hashes of the runs of five words in an array column."""
     first = F.sequence(F.lit(0), F.size(words) - SIZE)
     hashes = F.transform(first, lambda i: F.xxhash64(*(F.get(F.col(words), i + k) for k in range(SIZE))))
-    return F.when(F.size(words) >= SIZE, F.array_distinct(hashes)).otherwise(F.expr("CAST(array() AS array<bigint>)"))
+    return settled(F.when(F.size(words) >= SIZE, F.array_distinct(hashes)).otherwise(F.expr("CAST(array() AS array<bigint>)")))
 
 
 def shingle_texts(words: str) -> Column:
     first = F.sequence(F.lit(0), F.size(words) - SIZE)
     parts = F.transform(first, lambda i: F.concat_ws(" ", *(F.get(F.col(words), i + k) for k in range(SIZE))))
-    return F.when(F.size(words) >= SIZE, F.array_distinct(parts)).otherwise(F.expr("CAST(array() AS array<string>)"))
+    return settled(F.when(F.size(words) >= SIZE, F.array_distinct(parts)).otherwise(F.expr("CAST(array() AS array<string>)")))
 
 
 def item_sketches(items: DataFrame, percent: int) -> DataFrame:
@@ -65,18 +70,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = 80) ->
     source = docs.select("doc_id", "text").filter("text IS NOT NULL").withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
     hashed = source.select("k1", "k2", word_list(F.col("text")).alias("words")).select("k1", "k2", shingle_hashes("words").alias("hashes"))
     largest = max(b["bound"] for b in bands)
-    # explode_outer: for a plain explode the optimizer would filter on the whole expression before it.
-    low = hashed.select("k1", "k2", F.size("hashes").alias("size"), F.explode_outer(F.filter("hashes", lambda h: h <= largest)).alias("hash"))
+    low = (hashed.select("k1", "k2", F.size("hashes").alias("size"), F.filter("hashes", lambda h: h <= largest).alias("low"))
+           .select("k1", "k2", "size", F.explode("low").alias("hash")))
     fits = " OR ".join(f"(size >= {b['least']} AND hash <= {b['bound']})" for b in bands)
     looked = low.filter(fits)
     path = new_path(spark, "held")                          # written as files, so that the join below knows their size
     looked.join(sketches, "hash").filter("size >= least").select("k1", "k2", "item").distinct().write.parquet(path)
     maybe = spark.read.parquet(path)
     words = source.join(maybe.groupBy("k1", "k2").agg(F.collect_list("item").alias("items")), ["k1", "k2"]).select("doc_id", "items", word_list(F.col("text")).alias("words"))
-    sets = words.select("doc_id", "items", shingle_texts("words").alias("own")).select("doc_id", "own", F.explode_outer("items").alias("item"))
+    sets = words.select("doc_id", "items", shingle_texts("words").alias("own")).select("doc_id", "own", F.explode("items").alias("item"))
     both = sets.join(items.select("item", "item_id", "copies", "shingles"), "item")
     counted = both.select("doc_id", "item_id", F.size("shingles").alias("n_shingles"), F.size(F.array_intersect("shingles", "own")).alias("n_found"),
-                          F.explode_outer(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+                          F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
     return (counted.filter(100 * F.col("n_found") >= percent * F.col("n_shingles"))
             .select("doc_id", "item_id", "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment")))
 
