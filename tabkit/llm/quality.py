@@ -112,9 +112,12 @@ def log_ratios(trusted: np.ndarray, corpus: np.ndarray, weight: float) -> np.nda
 
 
 def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that some label calls good. Rows without doc_id have no label."""
+    """Rows of ``docs`` that some label calls good. Rows without doc_id have no label.
+
+    Both sides are shuffled at any size, so that cost and disk follow the input evenly.
+    """
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL").join(good, "doc_id", "left_semi")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL").join(good.hint("merge"), "doc_id", "left_semi")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, bits: int = 14, weight: float = 10.0,
