@@ -184,6 +184,9 @@ def smote(df: DataFrame, label: str, key: str, features: str, k: int = 5, seed:
     classes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     largest = classes.agg(F.max("_n")).scalar()
     deficits = classes.withColumn("_need", largest - F.col("_n")).filter("_need > 0")
+    lone = deficits.filter("_n = 1").limit(1).collect()
+    if lone:
+        raise ValueError(f"class {lone[0][label]} has one row and so no neighbours to place points between")
     rows = df.select(key, label, F.col(features).cast("array<double>").alias("_x"))
     minority = null_safe_join(rows, deficits, [label], "inner")
     near = knn_join(minority, minority.withColumnRenamed(key, "_nb"), key, "_nb", "_x", k, within=label,
@@ -204,7 +207,7 @@ def smote(df: DataFrame, label: str, key: str, features: str, k: int = 5, seed:
 
 
 def landmark_isomap(df: DataFrame, key: str, features: str, components: int = 2, n_neighbors: int = 10,
-                    n_landmarks: int = 16, max_rounds: int = 200) -> DataFrame:
+                    n_landmarks: int = 16) -> DataFrame:
     """Landmark Isomap: neighbour graph, shortest paths from a few landmarks, classical scaling
     of the landmarks, and placement of every row from its landmark distances.
 
@@ -219,7 +222,7 @@ def landmark_isomap(df: DataFrame, key: str, features: str, components: int = 2,
     marks = [r["id"] for r in rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n_landmarks).collect()]
     k = min(n_neighbors, max(total - 1, 1))
     while True:
-        dist = _landmark_paths(rows, marks, k, max_rounds)
+        dist = _landmark_paths(rows, marks, k)
         reached = dist.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n_landmarks).count()
         if reached == total or k >= total - 1:
             break
@@ -246,20 +249,18 @@ def landmark_isomap(df: DataFrame, key: str, features: str, components: int = 2,
     return dist.groupBy(F.col("id").alias(key)).agg(*coords)
 
 
-def _landmark_paths(rows: DataFrame, marks, k: int, max_rounds: int) -> DataFrame:
+def _landmark_paths(rows: DataFrame, marks, k: int) -> DataFrame:
     near = knn_join(rows, rows.withColumnRenamed("id", "nb"), "id", "nb", "x", k, exclude_same=True)
     one_way = near.select(F.col("id").alias("a"), F.col("nb").alias("b"), F.col("distance").alias("w"))
     edges = checkpointed(one_way.union(one_way.select("b", "a", "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
     start = rows.filter(F.col("id").isin(marks)).select(F.col("id").alias("landmark"), "id", F.lit(0.0).alias("d"))
     best = checkpointed(start)
     front = best
-    for _ in range(max_rounds):
+    while not front.isEmpty():
         step = front.join(edges, front["id"] == edges["a"]).groupBy("landmark", F.col("b").alias("id")).agg(
             F.min(F.col("d") + F.col("w")).alias("nd"))
         merged = checkpointed(best.join(step, ["landmark", "id"], "full").select(
             "landmark", "id", F.least("d", "nd").alias("d"),
             (F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d") - 1e-12))).alias("better")))
         best, front = merged.drop("better"), merged.filter("better").drop("better")
-        if front.isEmpty():
-            break
     return best

@@ -58,7 +58,9 @@ def knn_impute(df: DataFrame, key: str, cols, k: int = 50, digits: int | None =
     for p in patterns:
         have = [c for c, bit in zip(cols, p) if bit == "0"]
         need = [c for c, bit in zip(cols, p) if bit == "1"]
-        if not have:
+        if not have:                                        # nothing known: all complete rows are equally near
+            means = complete.agg(*[F.avg(c).alias(c) for c in need]).first()
+            filled.append(df.filter(pattern == p).select(key, *[F.lit(means[c]).cast("double").alias(f"_f_{c}") for c in need]))
             continue
         query = df.filter(pattern == p).select(F.col(key).alias("q_key"), F.array(*[z(c) for c in have]).alias("features"))
         base = complete.select(F.col(key).alias("b_key"), F.array(*[z(c) for c in have]).alias("features"))

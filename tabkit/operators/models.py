@@ -211,6 +211,8 @@ def ensemble_predict(models, df: DataFrame) -> DataFrame:
 def importances(model: PipelineModel, names, spark) -> DataFrame:
     """Feature importances of a tree model, largest first."""
     values = model.stages[-1].featureImportances.toArray()
+    if len(values) != len(names):
+        raise ValueError(f"{len(names)} names for {len(values)} features")
     rows = sorted(((n, float(v)) for n, v in zip(names, values)), key=lambda r: (-r[1], r[0]))
     return spark.createDataFrame(rows, "feature string, importance double")
 

@@ -17,12 +17,16 @@ def separate_rows(df: DataFrame, col: str, sep: str = ",") -> DataFrame:
     return df.withColumn(col, F.explode(split_trim(F.col(col), sep)))
 
 
-def levels_of(df: DataFrame, col: str, limit: int = 10_000) -> list:
-    """Sorted distinct values of a category. Refuses a column that is no category."""
-    found = df.select(col).filter(F.col(col).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{col} has more than {limit} levels")
-    return sorted(r[0] for r in found)
+def levels_of(df: DataFrame, col: str) -> list:
+    """Sorted distinct values of a category, as names of columns; ``level_rows`` is the form for many levels."""
+    return sorted(r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().collect())
+
+
+def level_rows(df: DataFrame, key, col: str) -> DataFrame:
+    """The indicators of any number of levels as rows: each key with each of its levels once, and 1."""
+    keys = [key] if isinstance(key, str) else list(key)
+    found = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).alias("level")).distinct()
+    return found.withColumn("value", F.lit(1))
 
 
 def indicators(df: DataFrame, key, col: str, levels=None, prefix: str = "") -> DataFrame:

@@ -243,11 +243,18 @@ def influence(fit: Fit, df: DataFrame) -> DataFrame:
         "cook": r2 * F.col("hat") / (fit.p * F.greatest(1 - F.col("hat"), F.lit(1e-12)))})
 
 
-def outlier_test(fit: Fit, df: DataFrame, cutoff: float = 0.05, n_max: int = 10) -> DataFrame:
-    """Largest studentised residuals with Bonferroni p-values; those below the cut-off, or the
-    single largest when there is none."""
-    top = (influence(fit, df).filter(F.col("rstudent").isNotNull())
-           .orderBy(F.desc(F.abs("rstudent"))).limit(n_max))
+def outlier_test(fit: Fit, df: DataFrame, cutoff: float = 0.05) -> DataFrame:
+    """Studentised residuals with Bonferroni p-values below the cut-off, and the largest (all that
+    tie for it) in any case.
+
+    The residual at the cut-off is solved once; rows are filtered by it."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (low, middle) if t_two_sided(middle, fit.n - fit.p - 1) * fit.n < cutoff else (middle, high)
+    found = influence(fit, df).filter(F.col("rstudent").isNotNull())
+    best = found.agg(F.max(F.abs("rstudent"))).scalar()
+    top = found.filter((F.abs("rstudent") >= low) | (F.abs("rstudent") == best))
 
     @F.pandas_udf("double")
     def tail(t: pd.Series) -> pd.Series:
@@ -255,7 +262,6 @@ def outlier_test(fit: Fit, df: DataFrame, cutoff: float = 0.05, n_max: int = 10)
 
     scored = top.withColumn("p_value", tail("rstudent")).withColumn(
         "bonferroni_p", F.least(F.lit(1.0), F.col("p_value") * fit.n))
-    best = scored.agg(F.max(F.abs("rstudent"))).scalar()
     return scored.filter((F.col("bonferroni_p") < cutoff) | (F.abs("rstudent") == best))
 
 
@@ -270,7 +276,9 @@ def vif(df: DataFrame, cols) -> DataFrame:
 
 def acf(df: DataFrame, keys, order, col: str, max_lag: int | None = None,
         span_rows: int = SPAN_ROWS, split: bool | None = None) -> DataFrame:
-    """Autocorrelation of each series for lags 0..max_lag (10 log10 n of the longest by default)."""
+    """Autocorrelation of each series for lags 0..max_lag (10 log10 n of the longest by default).
+
+    A series without variance keeps its rows, with NULL."""
     keys = list(keys)
     if max_lag is None:
         max_lag = int(10 * math.log10(max(largest_group(df, keys), 2)))
@@ -279,9 +287,10 @@ def acf(df: DataFrame, keys, order, col: str, max_lag: int | None = None,
     wide = over_rows(dev, keys, order, lambda w: {f"_e{k}": F.lag("_e", k).over(w) for k in range(1, max_lag + 1)},
                      before=max_lag, span_rows=span_rows, split=split).withColumn("_e0", F.col("_e"))
     sums = wide.groupBy(*keys).agg(*[F.sum(F.col("_e") * F.col(f"_e{k}")).alias(f"_c{k}") for k in range(max_lag + 1)])
-    items = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_c{k}") / F.nullif(F.col("_c0"), F.lit(0.0))).alias("acf"))
+    items = F.array(*[F.struct(F.lit(k).alias("lag"), (F.col(f"_c{k}") / F.nullif(F.col("_c0"), F.lit(0.0))).alias("acf"),
+                              F.col(f"_c{k}").alias("_sum"))
                       for k in range(max_lag + 1)])
-    return sums.select(*keys, F.explode(items).alias("_x")).select(*keys, "_x.*").filter("acf IS NOT NULL")
+    return sums.select(*keys, F.explode(items).alias("_x")).select(*keys, "_x.*").filter("_sum IS NOT NULL").drop("_sum")
 
 
 def decompose(df: DataFrame, keys, order, col: str, period: int, span_rows: int = SPAN_ROWS,

@@ -1,25 +1,3 @@
-"""One local session for tests, comparison and bench."""
+"""The local session of the package, under its name in tests."""
 
-from __future__ import annotations
-
-import os
-
-from pyspark.sql import SparkSession
-
-
-def get_session(cpus: int | None = None) -> SparkSession:
-    cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]").appName("tabkit")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "12g")
-        .config("spark.driver.bindAddress", "127.0.0.1").config("spark.driver.host", "127.0.0.1")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
-    return spark
+from tabkit.session import get_session  # noqa: F401
