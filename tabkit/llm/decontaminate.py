@@ -15,16 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabkit.llm.spans import settled
 from tabkit.sources.workspace import checkpointed, new_path
 
 SIZE = 5
 
 
-def settled(value: Column) -> Column:
-    """The value, marked as not repeatable, so that no filter or lambda computes it again from its parts."""
-    return F.when(F.spark_partition_id() >= 0, value)
-
-
 def word_list(text: Column) -> Column:
     return settled(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
 

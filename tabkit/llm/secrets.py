@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabkit.llm.spans import located, listing, normal_tail, overlapping, tagged
+from tabkit.llm.spans import located, listing, normal_tail, overlapping, settled, tagged
 from tabkit.sources.workspace import checkpointed
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -39,33 +39,35 @@ def battery(tokens: DataFrame, alpha: float) -> DataFrame:
     """``tokens`` (match) with encoding, length, p_random, p_text; tokens told from random are left out."""
     which = F.coalesce(*(F.when(F.col("match").rlike(f"^{pattern}$"), F.lit(i)) for i, (_, _, pattern) in enumerate(ALPHABETS)))
     shape = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(symbols).alias("symbols")) for name, symbols, _ in ALPHABETS))
-    coded = (tokens.withColumn("shape", F.get(shape, which)).withColumn("n", F.length("match").cast("double"))
+    coded = (tokens.withColumn("shape", settled(F.get(shape, which))).withColumn("n", F.length("match").cast("double"))
              .withColumn("size", F.when(F.col("shape.name") == "base64", 64).otherwise(F.length("shape.symbols")).cast("double"))
-             .withColumn("code", F.transform(F.filter(F.split("match", ""), lambda x: x != ""), lambda x: F.instr(F.col("shape.symbols"), x) - 1)))
+             .withColumn("code", settled(F.transform(F.filter(F.split("match", ""), lambda x: x != ""), lambda x: F.instr(F.col("shape.symbols"), x) - 1))))
     n, size = F.col("n"), F.col("size")
     counts = F.transform(F.array_distinct("code"), lambda x: F.size(F.filter("code", lambda y: y == x)).cast("double"))
     total = lambda array, value: F.aggregate(array, F.lit(0.0), lambda acc, x: acc + value(x))
-    coded = coded.withColumn("counts", counts).withColumn("mean", total("code", lambda x: x) / n)
+    coded = coded.withColumns({"counts": settled(counts), "mean": settled(total("code", lambda x: x) / n)})
     pairs = F.zip_with(F.slice("code", F.lit(1), (n - 1).cast("int")), F.slice("code", F.lit(2), (n - 1).cast("int")), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     high = lambda x: x * 2 >= size
-    coded = (coded.withColumn("squares", total("counts", lambda x: x * x))
-             .withColumn("above", total("code", lambda x: F.when(high(x), 1.0).otherwise(0.0)))
-             .withColumn("turns", total(pairs, lambda p: F.when(high(p["a"]) != high(p["b"]), 1.0).otherwise(0.0)))
-             .withColumn("spread", total("code", lambda x: (x - F.col("mean")) * (x - F.col("mean"))))
-             .withColumn("lagged", total(pairs, lambda p: (p["a"] - F.col("mean")) * (p["b"] - F.col("mean")))))
-    chi, df = size / n * F.col("squares") - n, size - 1
-    even = normal_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)))
-    above, below = F.col("above"), n - F.col("above")
-    expected = 2 * above * below / n
-    runs_z = (F.col("turns") - expected) / F.sqrt(F.greatest(expected * (2 * above * below - n) / (n * (n - 1)), F.lit(1e-9)))
-    runs = F.when((above == 0) | (below == 0), 2 * F.pow(F.lit(0.5), n)).otherwise(2 * normal_tail(F.abs(runs_z)))
-    serial = F.when(F.col("spread") <= 0, 0.0).otherwise(2 * normal_tail(F.abs((F.col("lagged") / F.col("spread") + 1 / n) * F.sqrt(n))))
-    equal = (F.col("squares") - n) / 2
-    as_text = n * (n - 1) / 2 * F.greatest(F.lit(0.06), 1.5 / size)     # equal pairs that words would have
-    z = (F.pow(as_text / (equal + 1), F.lit(1 / 3)) - (1 - 1 / (9 * (equal + 1)))) / F.sqrt(1 / (9 * (equal + 1)))
-    return (coded.withColumn("p_random", F.least(F.lit(1.0), 3 * F.least(even, runs, serial))).withColumn("p_text", normal_tail(z))
-            .filter(F.col("p_random") >= alpha).withColumn("encoding", F.col("shape.name"))
-            .drop("shape", "code", "counts", "mean", "squares", "above", "turns", "spread", "lagged", "size"))
+    coded = coded.withColumn("pairs", settled(pairs))
+    coded = coded.withColumns({
+        "squares": total("counts", lambda x: x * x), "above": total("code", lambda x: F.when(high(x), 1.0).otherwise(0.0)),
+        "turns": total("pairs", lambda p: F.when(high(p["a"]) != high(p["b"]), 1.0).otherwise(0.0)),
+        "spread": total("code", lambda x: (x - F.col("mean")) * (x - F.col("mean"))),
+        "lagged": total("pairs", lambda p: (p["a"] - F.col("mean")) * (p["b"] - F.col("mean")))})
+    coded = coded.select("k1", "k2", "start", "end", "match", "band", F.col("shape.name").alias("encoding"), "n", "size", "squares", "above", "turns", "spread", "lagged") \
+        .withColumns({"df": size - 1, "chi": size / n * F.col("squares") - n, "expected": 2 * F.col("above") * (n - F.col("above")) / n,
+                      "equal": (F.col("squares") - n) / 2 + 1, "as_text": n * (n - 1) / 2 * F.greatest(F.lit(0.06), 1.5 / size)})     # equal pairs that words would have
+    third, df, expected, equal = F.lit(1 / 3), F.col("df"), F.col("expected"), F.col("equal")
+    scores = coded.withColumns({
+        "z_even": (F.pow(F.greatest(F.col("chi"), F.lit(0.0)) / df, third) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)),
+        "z_runs": F.abs((F.col("turns") - expected) / F.sqrt(F.greatest(expected * (expected * n - n) / (n * (n - 1)), F.lit(1e-9)))),
+        "z_serial": F.abs((F.col("lagged") / F.nullif(F.col("spread"), F.lit(0.0)) + 1 / n) * F.sqrt(n)),
+        "z_text": (F.pow(F.col("as_text") / equal, third) - (1 - 1 / (9 * equal))) / F.sqrt(1 / (9 * equal))})
+    alone = (F.col("above") == 0) | (F.col("above") == n)
+    tested = scores.withColumns({"p_even": normal_tail(F.col("z_even")), "p_runs": F.when(alone, 2 * F.pow(F.lit(0.5), n)).otherwise(2 * normal_tail(F.col("z_runs"))),
+                                 "p_serial": F.coalesce(2 * normal_tail(F.col("z_serial")), F.lit(0.0)), "p_text": normal_tail(F.col("z_text"))})
+    return (checkpointed(tested.select("k1", "k2", "start", "end", "match", "band", "encoding", "p_text",
+                                       F.least(F.lit(1.0), 3 * F.least("p_even", "p_runs", "p_serial")).alias("p_random"))).filter(F.col("p_random") >= alpha))
 
 
 def discovered(tokens: DataFrame, rate: float, tested: DataFrame) -> DataFrame:
