@@ -1,8 +1,9 @@
 """Quality rules: plain counts of each text, and how much likelier its n-grams are in trusted text.
 
-Two multinomials over hashed n-grams (words and word pairs, as written) are counted: one over the
-trusted documents, one over the whole corpus. A document's score is the mean over its n-grams of
-the log ratio of the two. The threshold is one number for all documents.
+Two multinomials over n-grams (words and word pairs, as written, told apart by 64-bit hashes) are
+counted: one over the trusted documents, one over the whole corpus. A document's score is the mean
+over its n-grams of the log ratio of the two. Counts and ratios are rows that are shuffled, so nothing
+gathered bounds the vocabulary. The threshold is one number for all documents.
 """
 
 from __future__ import annotations
@@ -75,52 +76,77 @@ def hashed_words(data, offsets):
     return sums, span_hashes(sums, starts, ends), doc
 
 
-def buckets(hashes: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and document of each word and each pair of neighbouring words."""
+def ngrams(hashes: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document of each word and each pair of neighbouring words."""
     pair = np.flatnonzero(doc[1:] == doc[:-1])
     both = np.concatenate([hashes, joined([hashes[pair], hashes[pair + 1]])])
-    return (both >> np.uint64(64 - bits)).astype(np.int64), np.concatenate([doc, doc[pair]])
+    return both >> np.uint64(64 - bits), np.concatenate([doc, doc[pair]])
 
 
-def ngram_counts(docs: DataFrame, bits: int) -> np.ndarray:
-    """Occurrences per bucket over all rows: every task sums its own, so 2**bits numbers per task are shuffled."""
+def ngram_counts(rows: DataFrame, bits: int) -> DataFrame:
+    """gram, n and trusted: occurrences over all ``rows`` (text, good) and over good ones."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
         for batch in blocks(batches):
             _, hashes, doc = hashed_words(*raw(batch.column("text")))
-            total += np.bincount(buckets(hashes, doc, bits)[0], minlength=1 << bits)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 1 << 16):
-            some = at[k:k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+            gram, owners = ngrams(hashes, doc, bits)
+            good = batch.column("good").to_numpy(zero_copy_only=False)[owners]
+            gram, which, n = np.unique(gram, return_inverse=True, return_counts=True)
+            trusted = np.bincount(which, weights=good, minlength=len(gram)).astype(np.int64)
+            for k in range(0, len(gram), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k:k + (1 << 16)]) for x in (gram.view(np.int64), n, trusted)], ["gram", "n", "trusted"])
 
-    rows = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(1 << bits, np.int64)
-    table = rows.toArrow()                                  # at most 2**bits rows
-    out[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    return out
+    return (rows.select("text", "good").mapInArrow(count, "gram long, n long, trusted long")
+            .groupBy("gram").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted")))
 
 
-def log_ratios(trusted: np.ndarray, corpus: np.ndarray, weight: float) -> np.ndarray:
-    """Log of the trusted probability of each bucket over the corpus one.
+def postings(rows: DataFrame, bits: int) -> DataFrame:
+    """k1, k2, gram and times of each n-gram of each of ``rows`` (text, k1, k2)."""
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            _, hashes, doc = hashed_words(*raw(batch.column("text")))
+            gram, owners = ngrams(hashes, doc, bits)
+            order = np.lexsort((gram, owners))
+            gram, owners = gram[order], owners[order]
+            head = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (owners[1:] != owners[:-1])])[:len(gram)])
+            times = np.diff(np.append(head, len(gram)))
+            k1, k2 = (batch.column(k).to_numpy() for k in ("k1", "k2"))
+            for k in range(0, len(head), 1 << 16):
+                at = head[k:k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[owners[at]], k2[owners[at]], gram[at].view(np.int64), times[k:k + (1 << 16)])],
+                                                 ["k1", "k2", "gram", "times"])
+
+    return rows.select("text", "k1", "k2").mapInArrow(emit, "k1 long, k2 long, gram long, times long")
+
 
-    The trusted counts are drawn towards the corpus by ``weight`` occurrences per bucket.
+def text_scores(rows: DataFrame, bits: int, weight: float) -> DataFrame:
+    """k1, k2 and score of each text with a word among ``rows`` (text, k1, k2, good).
+
+    An n-gram's ratio is that of its trusted occurrences to those expected at the corpus's rate, each with
+    ``weight`` occurrences more, so it rests on the n-gram's own evidence at every size. Equal texts share a score.
     """
-    p = (corpus + 1) / (corpus.sum() + len(corpus))
-    prior = weight * len(corpus)
-    return np.log((trusted + prior * p) / (trusted.sum() + prior) / p)
+    counts = ngram_counts(rows, bits)
+    total = counts.agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted")).first()
+    rate = (total["trusted"] or 0) / max(total["n"] or 0, 1)
+    ratios = counts.select("gram", F.log((F.col("trusted") + weight) / (F.col("n") * F.lit(rate) + weight)).alias("ratio"))
+    return (postings(rows, bits).join(ratios.hint("merge"), "gram").groupBy("k1", "k2")
+            .agg((F.sum(F.col("times") * F.col("ratio")) / F.sum("times")).alias("score")))
 
 
-def trusted_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that some label calls good. Rows without doc_id have no label.
+def marked_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """text, its hashes k1 and k2, and whether some label calls the row good. Rows without doc_id have no label.
 
     Both sides are shuffled at any size, so that cost and disk follow the input evenly.
     """
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL").join(good.hint("merge"), "doc_id", "left_semi")
+    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_keys("k1", "k2")).filter("text IS NOT NULL")
+    return rows.join(good.hint("merge"), "doc_id", "left").select("text", "k1", "k2", F.coalesce("good", F.lit(False)).alias("good"))
+
 
+def text_keys(k1: str, k2: str):
+    return F.xxhash64("text").alias(k1), F.xxhash64(F.lit(7), "text").alias(k2)
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, bits: int = 14, weight: float = 10.0,
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *, bits: int = 64, weight: float = 10.0,
                    threshold: float = -0.08) -> DataFrame:
     """Counts, score and verdict of every row of ``docs``; other columns than doc_id and text are passed on.
 
@@ -128,13 +154,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, bits: int = 14, weight
     three-word windows, or its score is below the threshold. Null and empty texts have no words:
     counts and score are 0 and they are not kept. Without trusted rows all scores are 0. Columns
     of ``docs`` named like an added column are left out. Repeated rows each get their row.
+    ``bits`` of the n-grams' hashes are used; fewer than 64 are for tests.
     """
     spark = docs.sparkSession
     ship_package(spark)
     added = [*COUNTS, "base_failed", "score", "kept"]
-    trusted = ngram_counts(trusted_rows(docs, labels), bits)
-    corpus = ngram_counts(docs, bits)
-    ratios = spark.sparkContext.broadcast(log_ratios(trusted, corpus, weight) if trusted.any() else np.zeros(1 << bits))
+    scores = text_scores(marked_rows(docs, labels), bits, weight).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "score")
     passed = [c for c in docs.columns if c not in added]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,15 +167,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, bits: int = 14, weight
             data, offsets = raw(batch.column("text"))
             sums, hashes, doc = hashed_words(data, offsets)
             counts = text_counts(data, offsets, sums, (hashes, doc))
-            bucket, owners = buckets(hashes, doc, bits)
-            n = np.bincount(owners, minlength=batch.num_rows)
-            score = np.bincount(owners, weights=ratios.value[bucket], minlength=batch.num_rows) / np.maximum(n, 1)
-            failed = base_failed(counts)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in passed), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS),
-                 pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))], [*passed, *added])
-
-    schema = docs.select(*passed).schema
-    for c in added:
-        schema = schema.add(c, "boolean" if c in ("base_failed", "kept") else "double" if c == "score" else "long")
-    return docs.select(*passed).mapInArrow(judge, schema)
+                [*(batch.column(c) for c in [*passed, "__k1", "__k2"]), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS),
+                 pa.array(base_failed(counts))], [*passed, "__k1", "__k2", *COUNTS, "base_failed"])
+
+    keyed = docs.select(*passed, *text_keys("__k1", "__k2"))
+    schema = docs.select(*passed, *text_keys("__k1", "__k2")).schema
+    for c in (*COUNTS, "base_failed"):
+        schema = schema.add(c, "boolean" if c == "base_failed" else "long")
+    judged = keyed.mapInArrow(judge, schema).join(scores.hint("merge"), ["__k1", "__k2"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).select(*passed, *added)

@@ -55,3 +55,21 @@ def test_verdicts_and_edges(spark):
         assert r["kept"] == (r["text"] in clean or (r["text"] or "").startswith("www"))
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
     assert all(r["score"] == 0 for r in quality.quality_scores(docs, labels.limit(0)).collect())
+
+
+def test_scores_are_those_of_single_ngrams(spark):
+    """No n-grams share a count, however many there are: scores equal those of plain Python."""
+    random.seed(9)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=6))
+    common = [word() for _ in range(50)]
+    texts = [" ".join(random.choice(common) if random.random() < 0.3 else word() for _ in range(300)) for _ in range(150)]
+    texts.append(texts[3])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    grams = [[*t.split(" "), *zip(t.split(" "), t.split(" ")[1:])] for t in texts]
+    corpus, trusted = Counter(g for d in grams for g in d), Counter(g for d in grams[:60] for g in d)
+    assert len(corpus) > 4 * 2 ** 14
+    rate = trusted.total() / corpus.total()
+    want = [np.mean([np.log((trusted[g] + 10) / (corpus[g] * rate + 10)) for g in d]) for d in grams]
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want)
