@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabkit.llm import decontaminate, jaccard_join, lines, packing, pii, quality, repeats, secrets, tokens, toxicity
+from tabkit.llm import (decontaminate, divergence, jaccard_join, lines, mixing, packing, pii, quality, repeats, secrets, spelling, tokens,
+                        toxicity)
 from tabkit.sources.workspace import new_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,3 +92,30 @@ def op9_token_table(spark, folder):
 def op10_repeated_passages(spark, folder):
     """Every document without the bytes of 200-byte strings that start anywhere else."""
     return repeats.without_repeats(table(spark, folder, "documents"), 200)
+
+
+@query
+def op11_curriculum(spark, folder):
+    """Every document's share of the mix and its first place in training, in that order."""
+    schedule = mixing.rotating(mixing.FALLING, mixing.MIDDLE, mixing.RISING)
+    mix = mixing.mixed(table(spark, folder, "documents"), schedule)
+    first = F.get("placements", F.lit(0))["place"].alias("place")
+    return mix.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("place", "doc_id")
+
+
+ORACLES["op11_curriculum"] = mixing.MIXED_SQL
+
+
+@query
+def op12_run_lengths(spark, folder):
+    """Every source's distance from the others of its language, and its foremost terms."""
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
+ORACLES["op12_run_lengths"] = divergence.DIVERGENCE_SQL
+
+
+@query
+def op13_letter_signatures(spark, folder):
+    """Every word with its commoner form, the root where forms lead, and its near words."""
+    return spelling.spelling_variants(table(spark, folder, "documents"))
