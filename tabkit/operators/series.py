@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.functions.scalars import recode, round_even
 from tabkit.operators.agg import corr_by, distinct_on
+from tabkit.operators.encode import label_encoder
+from tabkit.operators.forecast import additive, arx
 from tabkit.operators.joins import enrich, join_coalesce
 from tabkit.operators.order import null_safe_join, with_position
 from tabkit.operators.windows import add_lags
 
-MAX_SERIES_ROWS = 100_000     # a daily series of this length spans 270 years
-
 
 def clean_holidays(df: DataFrame, kind: str = "type", transferred: str = "transferred") -> DataFrame:
     """Bridge and Transfer days become Additional; transferred and working days go."""
@@ -67,106 +65,33 @@ def seasonal_naive(train: DataFrame, test: DataFrame, keys, date: str, y: str, s
     return null_safe_join(ahead, tail, [*keys, "_slot"]).drop("_slot", "_step")
 
 
-def _least_squares(x: np.ndarray, y: np.ndarray, ridge: float = 0.0) -> np.ndarray:
-    if ridge:
-        a = x.T @ x + ridge * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
-        return np.linalg.solve(a, x.T @ y)
-    return np.linalg.lstsq(x, y, rcond=None)[0]
-
-
-def arx_forecast(y: np.ndarray, x: np.ndarray, x_new: np.ndarray, max_order: int = 7) -> np.ndarray:
-    """Autoregression with regressors: order by AIC on common rows, then step by step with the
-    forecasts fed back as lags. Too short a series repeats its mean."""
-    steps, n = len(x_new), len(y)
-    top = min(max_order, n // 3)
-    if n < 8 or np.ptp(y) == 0:
-        return np.full(steps, y.mean() if n else np.nan)
-    best = None
-    for p in range(top + 1):
-        rows = n - top
-        parts = [np.ones(rows), *[y[top - k:n - k] for k in range(1, p + 1)]]
-        design = np.column_stack([*parts, x[top:]]) if x.shape[1] else np.column_stack(parts)
-        if rows <= design.shape[1] + 1:
-            continue
-        beta = _least_squares(design, y[top:])
-        sse = float(np.sum((y[top:] - design @ beta) ** 2))
-        aic = rows * np.log(max(sse, 1e-12) / rows) + 2 * design.shape[1]
-        if best is None or aic < best[0]:
-            best = (aic, p, beta)
-    if best is None:
-        return np.full(steps, y.mean())
-    _, p, beta = best
-    past, out = list(y[-max(p, 1):]), []
-    for i in range(steps):
-        lags = [past[-k] for k in range(1, p + 1)]
-        out.append(float(np.concatenate([[1.0], lags, x_new[i]]) @ beta))
-        past.append(out[-1])
-    return np.array(out)
-
-
-def additive_forecast(days: np.ndarray, y: np.ndarray, x: np.ndarray, days_new: np.ndarray, x_new: np.ndarray,
-                      weekly: int = 3, yearly: int = 10, ridge: float = 1.0) -> np.ndarray:
-    """Linear trend, weekly and yearly Fourier terms and regressors by ridge least squares.
-    Days count from a fixed date, so that phases agree between series."""
-    if len(y) < 4:
-        return np.full(len(days_new), y.mean() if len(y) else np.nan)
-    span = max(float(days[-1] - days[0]), 1.0)
-    centre, spread = x.mean(axis=0), x.std(axis=0)
-    spread[spread == 0] = 1.0
-
-    def design(d, r):
-        cols = [np.ones(len(d)), (d - days[0]) / span]
-        for period, n in ((7.0, weekly), (365.25, yearly)):
-            if span < 2 * period and period > 7:
-                continue        # less than two years say nothing about a yearly pattern
-            for k in range(1, n + 1):
-                cols += [np.sin(2 * np.pi * k * d / period), np.cos(2 * np.pi * k * d / period)]
-        return np.column_stack([*cols, (r - centre) / spread]) if r.shape[1] else np.column_stack(cols)
-
-    return design(days_new, x_new) @ _least_squares(design(days, x), y, ridge)
-
-
 def forecast_groups(train: DataFrame, test: DataFrame, keys, date: str, y: str, regressors=(), method: str = "arx",
-                    log: bool = True, season: int = 7, max_rows: int = MAX_SERIES_ROWS, **options) -> DataFrame:
-    """Forecast every series of a panel over its test rows; adds ``prediction``.
+                    log: bool = True, season: int = 7, categories=(), **options) -> DataFrame:
+    """Forecast every series of a panel (one row per key and date) over its test rows; adds ``prediction``.
 
-    One series (one row per key and date) is solved in one task, so its length is checked
-    first; series are spread over the cluster by key. ``log`` fits log1p of the target and
-    inverts it. Missing regressors count as zero. 'seasonal_naive' needs no such task.
+    ``log`` fits log1p of the target and inverts it. ``categories`` are regressors that stand for the place
+    of their level in sorted order. Methods: 'arx', 'additive' (both in ``operators/forecast.py``, with their
+    options) and 'seasonal_naive', which repeats the last ``season`` rows.
     """
-    keys, regressors = list(keys), list(regressors)
+    keys, regressors, categories = list(keys), list(regressors), list(categories)
     if method not in ("arx", "additive", "seasonal_naive"):
         raise ValueError(f"unknown method {method!r}")
     if method == "seasonal_naive":
         return seasonal_naive(train, test, keys, date, y, season)
-    cols = [*keys, date, y, *regressors]
-    both = train.filter(F.col(y).isNotNull()).select(*cols, F.lit(False).alias("_new")).unionByName(
-        test.withColumn(y, F.lit(None).cast("double")).select(*cols, F.lit(True).alias("_new")))
-    cells = both.groupBy(*keys, "_new", date).agg(F.count(F.lit(1)).alias("_c"))
-    shape = cells.groupBy(*keys).agg(F.max("_c").alias("_c"), F.sum("_c").alias("_n")).agg(F.max("_c"), F.max("_n")).first()
-    if (shape[0] or 0) > 1:
-        raise ValueError("a panel has one row per key and date; aggregate it first")
-    if (shape[1] or 0) > max_rows:
-        raise ValueError(f"a series has more than {max_rows} rows; aggregate it to a coarser calendar first")
-    both = both.withColumn("_day", F.datediff(F.col(date), F.lit("1970-01-01").cast("date")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in test.select(*keys, date).schema.fields)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_day")
-        new = pdf["_new"].to_numpy(bool)
-        old = pdf[~new]
-        target = old[y].to_numpy(float)
-        target = np.log1p(target) if log else target
-        r = pdf[regressors].fillna(0.0).to_numpy(float).reshape(len(pdf), len(regressors))
-        if method == "arx":
-            out = arx_forecast(target, r[~new], r[new], **options)
-        else:
-            day = pdf["_day"].to_numpy(float)
-            out = additive_forecast(day[~new], target, r[~new], day[new], r[new], **options)
-        return pdf.loc[new, [*keys, date]].assign(prediction=np.expm1(out) if log else out)
-
-    got = both.groupBy(*keys).applyInPandas(solve, schema + ", prediction double")
-    return null_safe_join(test, got, [*keys, date])
+    known, names = train.filter(F.col(y).isNotNull()), test.columns
+    for side in (known, test):
+        if not side.groupBy(*keys, date).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").isEmpty():
+            raise ValueError("a panel has one row per key and date; aggregate it first")
+    for c in categories:
+        codes = label_encoder(train.select(c).unionByName(test.select(c)), c, f"_code_{c}")
+        known, test = codes.apply(known), codes.apply(test)
+        regressors.append(f"_code_{c}")
+    cols = [*keys, date, *[F.col(c).cast("double").alias(c) for c in regressors]]
+    value = F.log1p(F.col(y).cast("double")) if log else F.col(y).cast("double")
+    solve = arx if method == "arx" else additive
+    got = solve(known.select(*cols, value.alias(y)), test.select(*cols), keys, date, y, regressors, **options)
+    got = got.withColumn("prediction", F.expm1("prediction") if log else F.col("prediction"))
+    return null_safe_join(test, got, [*keys, date]).select(*names, "prediction")
 
 
 def finish_forecast(pred: DataFrame, id_cols, out: str, digits: int = 3, inverse: str | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabkit.operators import encode, impute, models, rows, series, windows
+from tabkit.operators import encode, forecast, impute, models, rows, series, windows
 from tabkit.operators.agg import union_all
 from tabkit.operators.joins import align_to_spine
 from tabkit.plans.registry import DAILY_CTE, daily_facts, daily_panel, query, r4, table
@@ -117,20 +117,75 @@ tail AS (SELECT name, 7 - r AS slot, y FROM (SELECT name, y, row_number() OVER (
 naive AS (SELECT a.name, a.d, t.y AS prediction FROM (SELECT name, d, (row_number() OVER (PARTITION BY name ORDER BY d) - 1) % 7 AS slot FROM s WHERE test) a JOIN tail t ON t.name = a.name AND t.slot = a.slot)"""
 
 
+def _with_regressors(spark, sf, panel):
+    """Day type and its locale, weekday and month as categories; mean price, orders and their weekly mean as numbers."""
+    daily = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(
+        F.avg("o_totalprice").alias("price"), F.count(F.lit(1)).cast("double").alias("n_orders"))
+    daily = windows.rolling_mean(daily, [], ["d"], "n_orders", 7, split=False)
+    days = _day_calendar(spark, sf).withColumnRenamed("date", "d")
+    return panel.join(daily, "d", "left").join(days, "d", "left").withColumns(
+        {"weekday": F.date_format("d", "EEEE"), "year_mo": F.date_format("d", "yyyy-MM")})
+
+
 @query("q5_forecast_arx")
 def q5(spark, sf):
-    train, test = _sales(spark, sf)
-    out = series.forecast_groups(train, test, ["name"], "d", "y", ["weekend"], "arx")
+    train, test = [_with_regressors(spark, sf, side) for side in _sales(spark, sf)]
+    out = series.forecast_groups(train, test, ["name"], "d", "y", ["weekend", "price", "n_orders", "n_orders_mean_7"], "arx",
+                                 categories=["day_type", "locale", "weekday", "year_mo"])
     return series.finish_forecast(out, ["name", "d"], "y")
 
 
+@query("q5_forecast_order_one", f"""
+WITH {_SALES}, lagged AS (SELECT name, d, y, lag(y) OVER (PARTITION BY name ORDER BY d) AS y1 FROM s WHERE NOT test),
+fit AS (SELECT name, regr_slope(y, y1) AS b, regr_intercept(y, y1) AS a, regr_syy(y, y1) AS syy, regr_sxx(y, y1) AS sxx, regr_sxy(y, y1) AS sxy,
+  regr_avgy(y, y1) AS m, CAST(COUNT(y1) AS DOUBLE) AS n FROM lagged GROUP BY name),
+picked AS (SELECT *, n * ln((syy - sxy * sxy / sxx) / n) + 4 < n * ln(syy / n) + 2 AS one FROM fit),
+newest AS (SELECT name, arg_max(y, d) AS last FROM s WHERE NOT test GROUP BY name),
+steps AS (SELECT name, d, row_number() OVER (PARTITION BY name ORDER BY d) AS h FROM s WHERE test)
+SELECT t.name, t.d, round(CASE WHEN one THEN a / (1 - b) + (last - a / (1 - b)) * pow(b, h) ELSE m END, 4) AS prediction
+FROM steps t JOIN picked p ON p.name = t.name JOIN newest l ON l.name = t.name""")
+def q5_order_one(spark, sf):
+    train, test = _sales(spark, sf)
+    out = series.forecast_groups(train, test, ["name"], "d", "y", method="arx", log=False, max_order=1)
+    return out.select("name", "d", r4("prediction").alias("prediction"))
+
+
+def _feasts(spark, sf):
+    """Holidays of the order table that fall on the first of a quarter, with the days around them."""
+    days = series.holiday_regressors(_holidays(spark, sf)).filter((F.dayofmonth("date") <= 2) & (F.month("date") % 3 == 1))
+    return forecast.holiday_effects(days.withColumns({"lower": F.lit(-1), "upper": F.lit(1)}), "date", "locale_name", "lower", "upper").withColumnRenamed("date", "d")
+
+
 @query("q6_forecast_additive")
 def q6(spark, sf):
-    train, test = _sales(spark, sf)
-    out = series.forecast_groups(train, test, ["name"], "d", "y", ["weekend"], "additive")
+    train, test = [_with_regressors(spark, sf, side) for side in _sales(spark, sf)]
+    out = series.forecast_groups(train, test, ["name"], "d", "y", ["weekend", "price"], "additive", effects=_feasts(spark, sf))
     return series.finish_forecast(out, ["name", "d"], "y")
 
 
+@query("q6_forecast_trend", f"""
+WITH {_SALES}, line AS (SELECT name, regr_slope(y, CAST(d - DATE '1970-01-01' AS DOUBLE)) AS b, AVG(y) AS my, AVG(CAST(d - DATE '1970-01-01' AS DOUBLE)) AS mx
+  FROM s WHERE NOT test GROUP BY name)
+SELECT s.name, s.d, round(my + b * (CAST(s.d - DATE '1970-01-01' AS DOUBLE) - mx), 4) AS prediction FROM s JOIN line ON line.name = s.name WHERE test""")
+def q6_trend(spark, sf):
+    train, test = _sales(spark, sf)
+    out = series.forecast_groups(train, test, ["name"], "d", "y", method="additive", log=False, weekly=0, yearly=0, ridge=0.0)
+    return out.select("name", "d", r4("prediction").alias("prediction"))
+
+
+@query("q6_forecast_effect", f"""
+WITH {_SALES}, first_days AS (SELECT name, d, y, day(d) = 1 AS feast, test FROM s),
+means AS (SELECT name, AVG(y) FILTER (NOT feast) AS plain, AVG(y) FILTER (feast) AS feasts FROM first_days WHERE NOT test GROUP BY name)
+SELECT f.name, f.d, round(CASE WHEN feast THEN feasts ELSE plain END, 4) AS prediction FROM first_days f JOIN means m ON m.name = f.name WHERE test""")
+def q6_effect(spark, sf):
+    """One effect and a level: the mean of the first days of months, and of all other days."""
+    train, test = _sales(spark, sf)
+    feasts = calendar_of(table(spark, sf, "orders"), "o_orderdate", "d").unionByName(calendar_of(table(spark, sf, "events"), "ts", "d")).distinct()
+    effects = forecast.holiday_effects(feasts.filter(F.dayofmonth("d") == 1).withColumn("holiday", F.lit("first")), "d")
+    out = series.forecast_groups(train, test, ["name"], "d", "y", method="additive", log=False, weekly=0, yearly=0, ridge=0.0, effects=effects, trend=False)
+    return out.select("name", "d", r4("prediction").alias("prediction"))
+
+
 @query("q7_finish_forecast", f"WITH {_SALES} SELECT name, d, greatest(0.0, round_even(prediction, 0)) AS y FROM naive")
 def q7(spark, sf):
     train, test = _sales(spark, sf)

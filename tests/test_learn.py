@@ -164,15 +164,15 @@ def test_short_series_fall_back(spark):
     for m in ("arx", "additive"):
         out = series.forecast_groups(train, test, ["k"], "d", "y", [], m)
         assert out.count() == 6 and all(r["prediction"] == pytest.approx(5.0) for r in out.collect())
-    assert np.isnan(series.arx_forecast(np.array([]), np.zeros((0, 1)), np.zeros((2, 1)))).all()
+    for m in ("arx", "additive"):
+        out = series.forecast_groups(train.filter("k = 'a'"), test, ["k"], "d", "y", [], m)
+        assert {r["k"]: r["prediction"] for r in out.collect()} == {"a": pytest.approx(5.0), "b": None}
 
 
 def test_panel_checks(spark):
     train, test = _panel(spark, lambda k, i: i, n=20, cut=10)
     with pytest.raises(ValueError, match="aggregate"):
         series.forecast_groups(train.union(train), test, ["k"], "d", "y")
-    with pytest.raises(ValueError, match="rows"):
-        series.forecast_groups(train, test, ["k"], "d", "y", max_rows=5)
     with pytest.raises(ValueError):
         series.forecast_groups(train, test, ["k"], "d", "y", method="magic")
 
