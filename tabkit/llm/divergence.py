@@ -26,7 +26,7 @@ from tabkit.sources.workspace import new_path
 
 SCALE_DIGITS, SMOOTH = (1000, 1000, 1000), 5
 ROWS = "lang string, source string, part string, item string, value long"
-_SMALL = 8 << 20
+_SALTS = 16
 
 
 def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -40,7 +40,7 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.DictionaryArray,
 
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term by language and source; a group's own row has no term."""
-    for block in blocks(batches, limit=_SMALL):
+    for block in blocks(batches):
         lang, source = (block.column(c).fill_null("").dictionary_encode() for c in ("lang", "source"))
         group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
         coded, doc = terms_of(*raw(block.column("text")))
@@ -165,8 +165,12 @@ def source_divergence(docs: DataFrame, least_docs: int = 30, best: int = 50) ->
     # One row without a term for each language, so that its sources are paired even where no term is kept.
     every = counts.filter("term IS NULL").select("lang").distinct().select(
         "lang", F.lit(None).cast("string").alias("term"), F.array().cast(kept.schema["uses"].dataType).alias("uses"))
-    dealt = kept.unionByName(every).repartitionByRange("lang", "uses", "term").sortWithinPartitions("lang", "uses", "term")
+    # Ranges are cut by the first uses alone: the cut points are sampled, and whole lists of uses are long.
+    dealt = kept.unionByName(every).repartitionByRange("lang", F.slice("uses", 1, 2), "term").sortWithinPartitions("lang", "uses", "term")
     found = dealt.mapInArrow(compare, ROWS).groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    # Foremost terms come from every range: they are cut in salted shares first, so that no source's shares meet in one task.
+    share = Window.partitionBy("lang", "source", "part", F.pmod(F.xxhash64("item"), F.lit(_SALTS))).orderBy(F.desc("value"), "item")
+    found = found.withColumn("rank", F.row_number().over(share)).filter((F.col("part") == "pair") | (F.col("rank") <= best))
     order = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
     return found.withColumn("rank", F.row_number().over(order)).filter((F.col("part") == "pair") | (F.col("rank") <= best))
 
