@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -41,48 +43,38 @@ def impute(df: DataFrame, cols, how: str, by=(), ties: str = "smallest", order:
 def knn_impute(df: DataFrame, key: str, cols, k: int = 50, digits: int | None = None, **knn) -> DataFrame:
     """Fill NULLs with the weighted mean of the k nearest complete rows, weights exp(-distance).
 
-    Columns are standardised; the distance uses the columns a row has. Rows are handled by
-    their pattern of missing columns, each pattern being one nearest-neighbour join.
+    Columns are standardised; the distance uses the columns that a row has, so that rows with any
+    pattern of gaps go through one nearest-neighbour join. To a row without any value all complete rows
+    are equally near.
     """
     cols = list(cols)
-    stats = df.agg(*[e for c in cols for e in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).first()
+    stats = df.agg(F.count(F.lit(1)).alias("_n"), *[e for c in cols for e in (
+        F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"), F.count(c).alias(f"n_{c}"))]).first()
+    gaps = [c for c in cols if stats[f"n_{c}"] < stats["_n"]]
+    if not gaps:
+        return df
 
     def z(c):
         sd = stats[f"s_{c}"]
-        return (F.col(c).cast("double") - F.lit(stats[f"m_{c}"])) / F.lit(sd if sd else 1.0)
-
-    complete = df.dropna(subset=cols)
-    pattern = F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in cols])
-    patterns = sorted(r[0] for r in df.filter(pattern.contains("1")).select(pattern.alias("p")).distinct().collect())
-    filled = []
-    for p in patterns:
-        have = [c for c, bit in zip(cols, p) if bit == "0"]
-        need = [c for c, bit in zip(cols, p) if bit == "1"]
-        if not have:                                        # nothing known: all complete rows are equally near
-            means = complete.agg(*[F.avg(c).alias(c) for c in need]).first()
-            filled.append(df.filter(pattern == p).select(key, *[F.lit(means[c]).cast("double").alias(f"_f_{c}") for c in need]))
-            continue
-        query = df.filter(pattern == p).select(F.col(key).alias("q_key"), F.array(*[z(c) for c in have]).alias("features"))
-        base = complete.select(F.col(key).alias("b_key"), F.array(*[z(c) for c in have]).alias("features"))
-        pairs = knn_join(query, base, "q_key", "b_key", "features", k, **knn)
-        values = complete.select(F.col(key).alias("b_key"), *[F.col(c).cast("double").alias(f"_v_{c}") for c in need])
-        weight = F.exp(-F.col("distance"))
-        filled.append(pairs.join(values, "b_key").groupBy(F.col("q_key").alias(key)).agg(*[
-            F.coalesce(F.sum(F.col(f"_v_{c}") * weight) / F.nullif(F.sum(weight), F.lit(0.0)),
-                       F.avg(f"_v_{c}")).alias(f"_f_{c}") for c in need]))
-    if not filled:
-        return df
-    fills = filled[0]
-    for more in filled[1:]:
-        fills = fills.unionByName(more, allowMissingColumns=True)
-    got = [c for c in cols if f"_f_{c}" in fills.columns]
+        return (F.col(c).cast("double") - F.lit(stats[f"m_{c}"]).cast("double")) / F.lit(sd if sd else 1.0)
+
+    known = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in cols])
+    scaled = F.array(*[z(c) for c in cols]).alias("features")
+    complete = df.filter(known == len(cols))
+    query = df.filter((known > 0) & (known < len(cols))).select(F.col(key).alias("q_key"), scaled)
+    pairs = knn_join(query, complete.select(F.col(key).alias("b_key"), scaled), "q_key", "b_key", "features", k, **knn)
+    values = complete.select(F.col(key).alias("b_key"), *[F.col(c).cast("double").alias(f"_v_{c}") for c in gaps])
+    weight = F.exp(-F.col("distance"))
+    fills = pairs.join(values, "b_key").groupBy(F.col("q_key").alias(key)).agg(*[
+        F.coalesce(F.sum(F.col(f"_v_{c}") * weight) / F.nullif(F.sum(weight), F.lit(0.0)), F.avg(f"_v_{c}")).alias(f"_f_{c}") for c in gaps])
+    means = complete.agg(*[F.avg(c).cast("double").alias(c) for c in gaps]).select(F.struct("*")).scalar()
     out = df.join(fills, key, "left")
 
     def value(c):
-        v = F.col(f"_f_{c}") if digits is None else round_even(F.col(f"_f_{c}"), digits)
-        return F.coalesce(F.col(c).cast("double"), v)
+        v = F.coalesce(F.col(f"_f_{c}"), F.when(known == 0, means[c]))
+        return F.coalesce(F.col(c).cast("double"), v if digits is None else round_even(v, digits))
 
-    return out.withColumns({c: value(c) for c in got}).select(*df.columns)
+    return out.withColumns({c: value(c) for c in gaps}).select(*df.columns)
 
 
 def interpolate(df: DataFrame, keys, order, col: str, how: str = "linear", digits: int | None = None,

@@ -10,7 +10,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from tabkit.functions import numerics as N
-from tabkit.operators import encode, impute, outliers, stats
+from tabkit.operators import encode, impute, neighbors, outliers, stats
 from tabkit.operators.neighbors import knn_join
 from tests.conftest import rows
 
@@ -68,11 +68,11 @@ def _points(n, d, seed, clumps=True):
     return [(int(i), [float(v) for v in r], "ab"[i % 2]) for i, r in enumerate(x)]
 
 
-@pytest.mark.parametrize("within,block", [(None, 4096), (None, 16), ("g", 16)])
-def test_knn_join_against_brute_force(spark, within, block):
-    pts = _points(150, 3, 1)
+@pytest.mark.parametrize("within,cell,block", [(None, 1024, 4096), (None, 20, 16), ("g", 20, 16), ("g", 5, 4096)])
+def test_knn_join_against_brute_force(spark, within, cell, block):
+    pts = [(i, x, None if i % 7 == 0 else g) for i, x, g in _points(150, 3, 1)]
     df = spark.createDataFrame(pts, "k bigint, x array<double>, g string")
-    got = knn_join(df, df.withColumnRenamed("k", "n"), "k", "n", "x", 4, within=within, exclude_same=True, n_pivots=7, block_rows=block)
+    got = knn_join(df, df.withColumnRenamed("k", "n"), "k", "n", "x", 4, within=within, exclude_same=True, cell_rows=cell, block_rows=block)
     got = {(r["k"], r["rank"]): (r["n"], round(r["distance"], 9)) for r in got.collect()}
     for k, x, g in pts:
         near = sorted((round(float(np.linalg.norm(np.array(x) - np.array(y))), 9), j) for j, y, h in pts
@@ -81,6 +81,37 @@ def test_knn_join_against_brute_force(spark, within, block):
             assert got[(k, i)] == (j, d)
 
 
+def test_knn_join_with_masked_queries(spark):
+    """Queries that lack columns share the join; base rows that lack one, and rows without features, take no part."""
+    pts = _points(300, 4, 2, clumps=False)
+    rng = np.random.default_rng(4)
+    asked = [(i, [None if rng.random() < 0.4 else v for v in x]) for i, x, _ in pts] + [(900, None), (901, [None] * 4)]
+    base = [(j, x) for j, x, _ in pts] + [(902, [1.0, None, 0.0, 0.0]), (903, None)]
+    got = knn_join(spark.createDataFrame(asked, "k long, x array<double>"), spark.createDataFrame(base, "n long, x array<double>"), "k", "n", "x", 3,
+                   cell_rows=10, block_rows=50)
+    got = {(r["k"], r["rank"]): (r["n"], round(r["distance"], 9)) for r in got.collect()}
+    assert len(got) == 3 * 301 and [got[901, i][0] for i in (1, 2, 3)] == [0, 1, 2]
+    for k, x in asked[:300]:
+        near = sorted((round(math.sqrt(sum((a - b) ** 2 for a, b in zip(x, y) if a is not None)), 9), j) for j, y, _ in pts)[:3]
+        assert [got[k, i] for i in (1, 2, 3)] == [(j, d) for d, j in near]
+
+
+def test_knn_join_visits_far_cells_only_where_needed():
+    """On a line, a query opens less than one other cell in its second round."""
+    rng = np.random.default_rng(8)
+    x = np.sort(rng.random((4000, 1)), axis=0)
+    tree = neighbors.PivotTree(x[rng.permutation(4000)[:64]])
+    cell, r = tree.home(x)
+    n, low, high = (np.array([f(r[cell == c]) if (cell == c).any() else 0 for c in range(64)]) for f in (len, np.min, np.max))
+    tree.measured(np.arange(64), n, low, high)
+    near = tree.near(x, 3)
+    bound = np.sort(np.abs(x - x.T), axis=1)[:, 3]
+    far = tree.far(x, bound, near)
+    assert sum(map(len, far)) < len(x)                     # of 63 others each
+    for i in rng.permutation(4000)[:50]:
+        assert set(cell[np.abs(x[:, 0] - x[i, 0]) <= bound[i]]) <= set(near[i]) | set(far[i])
+
+
 def test_knn_join_few_rows(spark):
     df = spark.createDataFrame([(1, [0.0]), (2, [1.0])], "k int, x array<double>")
     got = knn_join(df, df.withColumnRenamed("k", "n"), "k", "n", "x", 5, exclude_same=True)
@@ -258,11 +289,11 @@ def test_rare_and_unseen_levels(spark):
 
 def test_smote_balances_and_interpolates(spark):
     rng = np.random.default_rng(2)
-    pts = [(i, lab, [float(v) for v in rng.normal(size=2)]) for i, lab in enumerate([0] * 40 + [1] * 12 + [2] * 7 + [3])]
+    pts = [(i, lab, [float(v) for v in rng.normal(size=2)]) for i, lab in enumerate([0] * 40 + [1] * 12 + [2] * 7)]
     df = spark.createDataFrame(pts, "k int, y int, x array<double>")
     new = encode.smote(df, "y", "k", "x", k=5, seed=1).collect()
-    counts = {lab: sum(r["y"] == lab for r in new) for lab in range(4)}
-    assert counts == {0: 0, 1: 28, 2: 33, 3: 0}       # a single row has no neighbour to mix with
+    counts = {lab: sum(r["y"] == lab for r in new) for lab in range(3)}
+    assert counts == {0: 0, 1: 28, 2: 33}
     where = {k: (lab, np.array(x)) for k, lab, x in pts}
     for r in new:
         (la, a), (lb, b), p = where[r["k"]], where[r["neighbor"]], np.array(r["x"])
