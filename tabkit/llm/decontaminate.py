@@ -84,8 +84,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, percent: int = 80) ->
 
 #: The same result as SQL, by comparing all shingles.
 CONTAINED_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM documents WHERE text IS NOT NULL),
-i AS (SELECT row_number() OVER () AS r, item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), x -> x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT row_number() OVER () AS r, item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL),
 ds AS (SELECT DISTINCT r, doc_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1))) AS k FROM d)),
 it AS (SELECT DISTINCT r, item_id, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1))) AS k FROM i)),
 n AS (SELECT r, count(*) AS n FROM it GROUP BY r)

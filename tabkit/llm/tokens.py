@@ -43,7 +43,6 @@ class Encoder:
         key = zlib.crc32(definition.encode())
         if key not in _loaded:
             tokenizer = Tokenizer.from_str(definition)
-            tokenizer.encode_special_tokens = True
             about = json.loads(definition)
             pre = about.get("pre_tokenizer") or {}
             can = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
