@@ -327,18 +327,11 @@ def p5(spark, sf):
 
 
 @query("p6_hybrid", f"""
-WITH {_FULL}, good AS (SELECT i, UNNEST(gs) AS g, t, e FROM cat WHERE r >= 5),
-placed AS (SELECT *, row_number() OVER (PARTITION BY g, t, e ORDER BY {hash_sql('i', 0)}, i) - 1 AS pos, COUNT(*) OVER (PARTITION BY g, t, e) AS size FROM good),
-shelves AS (SELECT DISTINCT g, t, e, size FROM placed), sg AS (SELECT u, AVG(CASE WHEN e = 1 THEN 1.0 ELSE 0.0 END) >= 0.03 AS single FROM fl GROUP BY 1),
+WITH {_FULL}, sg AS (SELECT u, AVG(CASE WHEN e = 1 THEN 1.0 ELSE 0.0 END) >= 0.03 AS single, list_distinct(flatten(list(gs))) AS tastes FROM fl GROUP BY 1),
 cells AS (SELECT DISTINCT u, t, 1 AS e FROM fl JOIN sg USING (u) WHERE single UNION SELECT DISTINCT u, t, e + CAST(d AS INTEGER) FROM fl JOIN sg USING (u), (SELECT UNNEST(range(-4, 5)) AS d) WHERE NOT single),
-ug AS (SELECT DISTINCT u, UNNEST(gs) AS g FROM fl), known AS (SELECT u, g, t, e, COUNT(*) AS known FROM w JOIN good USING (i) GROUP BY 1, 2, 3, 4),
-op AS (SELECT c.u, s.g, s.t, s.e, s.size, COALESCE(k.known, 0) AS known FROM cells c JOIN shelves s ON s.t = c.t AND s.e = c.e JOIN ug ON ug.u = c.u AND ug.g = s.g
-  LEFT JOIN known k ON k.u = c.u AND k.g = s.g AND k.t = s.t AND k.e = s.e),
-bf AS (SELECT *, COALESCE(SUM(size - known) OVER (PARTITION BY u ORDER BY md5('0:' || u || ':' || t || ':' || e), t, e, md5('0:' || u || ':' || g || ':' || t || ':' || e), g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM op WHERE size > known),
-kept AS (SELECT *, CAST(floor({unit_sql('u', 0)} * size) AS BIGINT) AS start FROM bf WHERE before < 3 * (SELECT MAX(len(gs)) FROM cat WHERE r >= 5)),
-cand AS (SELECT k.u, k.g, k.t, k.e, p.i, row_number() OVER (PARTITION BY k.u, k.g, k.t, k.e ORDER BY (p.pos - k.start + k.size) % k.size) AS r FROM kept k JOIN placed p ON p.g = k.g AND p.t = k.t AND p.e = k.e
-  WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.u = k.u AND w.i = p.i)),
-few AS (SELECT DISTINCT u, i FROM cand WHERE r <= 3)
-SELECT u AS "user", i AS item FROM (SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY md5('0:' || u || ':' || i), i) AS r FROM few) WHERE r <= 3""")
+eligible AS (SELECT c.u, g.i, (CAST('0x' || substr({hash_sql('g.i', 0)}, 1, 8) AS BIGINT) - CAST('0x' || substr({hash_sql('c.u', 0)}, 1, 8) AS BIGINT) + 4294967296) % 4294967296 AS ahead
+  FROM cells c JOIN sg ON sg.u = c.u JOIN cat g ON g.t = c.t AND g.e = c.e AND g.r >= 5 AND len(list_intersect(g.gs, sg.tastes)) > 0
+  WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.u = c.u AND w.i = g.i))
+SELECT u AS "user", i AS item FROM (SELECT u, i, row_number() OVER (PARTITION BY u ORDER BY ahead, i) AS r FROM eligible) WHERE r <= 3""")
 def p6(spark, sf):
     return recommend.hybrid_recommend(_ratings(spark, sf), _items(spark, sf), 3, min_rating=5.0, single_share=0.03)
