@@ -7,15 +7,15 @@ import random
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import (GBTRegressor, GeneralizedLinearRegression, LinearRegression, RandomForestRegressor)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.functions.scalars import hash_text, hash_unit
+from tabkit.operators.linear import LinearFit, LinearModel
 from tabkit.operators.order import SPAN_ROWS, with_position
 from tabkit.operators.rows import kfold
 from tabkit.sources.workspace import checkpointed
@@ -40,43 +40,28 @@ def pipeline(estimator, numeric, categorical=(), one_hot: bool = True) -> Pipeli
     return Pipeline(stages=[*features(numeric, categorical, one_hot), estimator])
 
 
-def logit(df: DataFrame, y: str, numeric, categorical=(), threshold: float = 0.5) -> tuple[PipelineModel, DataFrame]:
+def logit(df: DataFrame, y: str, numeric, categorical=(), threshold: float = 0.5) -> tuple[LinearFit, DataFrame]:
     """Logistic model; predictions carry ``prediction`` (probability) and ``class``."""
-    est = GeneralizedLinearRegression(family="binomial", link="logit", labelCol=y)
-    model = pipeline(est, numeric, categorical).fit(df)
+    model = LinearModel(y, list(numeric), list(categorical), "binomial").fit(df)
     return model, model.transform(df).withColumn("class", (F.col("prediction") > threshold).cast("int"))
 
 
-def glm_summary(model: PipelineModel, spark) -> DataFrame:
-    """Coefficients of a fitted linear model with errors and p-values."""
-    fitted = model.stages[-1]
-    s = fitted.summary
-    names = ["coefficient_%d" % (i + 1) for i in range(len(fitted.coefficients))]
-    values = [float(v) for v in fitted.coefficients]
-    if fitted.getFitIntercept():       # the summary lists the intercept last
-        names, values = names + ["(Intercept)"], values + [float(fitted.intercept)]
-    return spark.createDataFrame(
-        [(n, v, float(e), float(p)) for n, v, e, p in zip(names, values, s.coefficientStandardErrors, s.pValues)],
-        "term string, estimate double, std_error double, p_value double")
+def glm_summary(model: LinearFit, spark) -> DataFrame:
+    """Terms of a fitted linear model with errors and p-values; factors are named by their level."""
+    return model.table(spark)
 
 
-def log_linear(df: DataFrame, y: str, numeric, categorical=(), reg: float = 1e-6) -> PipelineModel:
-    """Gaussian model of log1p(y) on centred numbers and factors; invert predictions with expm1."""
-    means = df.agg(*[F.avg(c).alias(c) for c in numeric]).first()
-    centred = df.withColumns({f"{c}_c": F.col(c) - F.lit(means[c]) for c in numeric}).withColumn("_log", F.log1p(y))
-    est = GeneralizedLinearRegression(family="gaussian", labelCol="_log", regParam=reg)
-    model = pipeline(est, [f"{c}_c" for c in numeric], categorical).fit(centred)
-    model.centre = {c: means[c] for c in numeric}
-    return model
+def log_linear(df: DataFrame, y: str, numeric, categorical=()) -> LinearFit:
+    """Gaussian model of log1p(y) on numbers and factors; predictions are on the scale of y."""
+    return LinearModel(y, list(numeric), list(categorical), response="log1p").fit(df)
 
 
-def log_linear_predict(model: PipelineModel, df: DataFrame) -> DataFrame:
-    ready = df.withColumns({f"{c}_c": F.col(c) - F.lit(m) for c, m in model.centre.items()})
-    return model.transform(ready).withColumn("prediction", F.expm1("prediction")).select(*df.columns, "prediction")
+def log_linear_predict(model: LinearFit, df: DataFrame) -> DataFrame:
+    return model.transform(df).select(*df.columns, "prediction")
 
 
-def linear_model(y: str, numeric, categorical=(), reg: float = 0.0) -> Pipeline:
-    return pipeline(LinearRegression(labelCol=y, regParam=reg, solver="normal"), numeric, categorical)
+def linear_model(y: str, numeric, categorical=()) -> LinearModel:
+    return LinearModel(y, list(numeric), list(categorical))
 
 
 def forest_classifier(y: str, numeric, categorical=(), trees: int = 100, **params) -> Pipeline:
@@ -111,23 +96,6 @@ def with_class_probabilities(scored: DataFrame, margins: str = "rawPrediction")
     return scored.withColumn("probability", F.transform(p, lambda x: x / F.nullif(total, F.lit(0.0))))
 
 
-def lasso_path(df: DataFrame, y: str, features_col: str, n: int = 20, ratio: float = 1e-4) -> list[float]:
-    """Penalties from the smallest that empties the model down by ``ratio``, evenly in the log."""
-    x = vector_to_array(features_col)
-    size = len(df.select(features_col).first()[0])
-    row = df.agg(*[F.abs(F.corr(x[i], F.col(y))).alias(f"c{i}") for i in range(size)], F.stddev_pop(y).alias("sd")).first()
-    top = max((row[f"c{i}"] or 0.0) for i in range(size)) * row["sd"]
-    return [float(v) for v in np.geomspace(top, top * ratio, n)]
-
-
-def lasso_cv(df: DataFrame, y: str, key: str, features_col: str = "features", k: int = 10, n: int = 20, seed: int = 0,
-             parallelism: int = 4):
-    """Lasso with the penalty of least cross-validated error, refitted on all rows."""
-    est = LinearRegression(labelCol=y, featuresCol=features_col, elasticNetParam=1.0, standardization=True)
-    grid = ParamGridBuilder().addGrid(est.regParam, lasso_path(df, y, features_col, n)).build()
-    return grid_search(est, grid, df, key, k, RegressionEvaluator(labelCol=y, metricName="mse"), seed, parallelism)
-
-
 def grid_search(est, grid, df: DataFrame, key: str, k: int, evaluator, seed: int = 0, parallelism: int = 4):
     """Exhaustive search with k-fold validation; folds come from a hash of the key."""
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=evaluator, numFolds=k, foldCol="fold",

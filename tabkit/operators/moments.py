@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 
 def vector_sums(df: DataFrame, keys, values: Column, name: str) -> DataFrame:
-    """Sum of an array of doubles, place by place, per key. Arrays have one length and no NULLs."""
-    added = df.select(*keys, array_to_vector(values).alias("_v")).groupBy(*keys).agg(Summarizer.sum(F.col("_v")).alias("_v"))
+    """Sum of an array of doubles, place by place, per key. Arrays have one length and no NULLs; no rows give no row."""
+    rows = df.select(*keys, array_to_vector(values).alias("_v"), F.lit(0).alias("_all"))
+    added = rows.groupBy(*keys, "_all").agg(Summarizer.sum(F.col("_v")).alias("_v"))
     return added.select(*keys, vector_to_array("_v").alias(name))
 
 

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from tabkit.operators import agg, metrics, models, recommend
+from tabkit.operators import agg, linear, metrics, models, recommend
 from tabkit.operators.rows import kfold, train_test_split
 from tabkit.plans.registry import hash_sql, query, r4, table, unit_sql
 from tabkit.sources import sinks, workspace
@@ -55,30 +55,85 @@ def n1(spark, sf):
     return scored.select("doc_id", r4("prediction", 6).alias("prediction"), "class")
 
 
-@query("n1_logit_summary")
+_LABELLED = "l AS (SELECT doc_id, lang, CAST(quality AS DOUBLE) AS quality FROM labels JOIN documents USING (doc_id))"
+
+
+@query("n1_logit_factor", f"""
+WITH {_LABELLED}, p AS (SELECT lang, AVG(quality) AS p FROM l GROUP BY 1)
+SELECT doc_id, round(p, 4) AS prediction, CAST(p > 0.5 AS INTEGER) AS class FROM l JOIN p USING (lang)""")
+def n1_factor(spark, sf):
+    _, scored = models.logit(_labelled(spark, sf), "quality", [], ["lang"])
+    return scored.select("doc_id", r4("prediction").alias("prediction"), "class")
+
+
+@query("n1_logit_summary", f"""
+WITH {_LABELLED}, c AS (SELECT lang, SUM(quality) AS a, SUM(1 - quality) AS b FROM l GROUP BY 1), base AS (SELECT * FROM c ORDER BY lang LIMIT 1),
+t AS (SELECT '(Intercept)' AS term, ln(a / b) AS estimate, sqrt(1 / a + 1 / b) AS std_error FROM base
+  UNION ALL SELECT 'lang' || c.lang, ln(c.a / c.b) - ln(base.a / base.b), sqrt(1 / c.a + 1 / c.b + 1 / base.a + 1 / base.b) FROM c, base WHERE c.lang <> base.lang)
+SELECT term, round(estimate, 3) AS estimate, round(std_error, 3) AS std_error, round(estimate / std_error, 3) AS statistic FROM t""")
 def n1b(spark, sf):
-    model, _ = models.logit(_labelled(spark, sf), "quality", ["size"])
-    return models.glm_summary(model, spark)
+    model, _ = models.logit(_labelled(spark, sf), "quality", [], ["lang"])
+    return models.glm_summary(model, spark).select("term", *[r4(c, 3).alias(c) for c in ("estimate", "std_error", "statistic")])
+
+
+def _dated_orders(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("yday"),
+                                             "o_orderpriority", "o_orderstatus")
 
 
 @query("n2_log_linear")
 def n2(spark, sf):
-    df = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("yday"),
-                                           "o_orderpriority", "o_orderstatus")
+    df = _dated_orders(spark, sf)
     model = models.log_linear(df, "o_totalprice", ["yday"], ["o_orderpriority", "o_orderstatus"])
     return models.log_linear_predict(model, df).select("o_orderkey", r4("prediction", 2).alias("prediction"))
 
 
+@query("n2_log_linear_factor", """
+SELECT o_orderkey, round(exp(AVG(ln(1 + o_totalprice)) OVER (PARTITION BY o_orderpriority)) - 1, 2) AS prediction FROM orders""")
+def n2_factor(spark, sf):
+    df = _dated_orders(spark, sf)
+    return models.log_linear_predict(models.log_linear(df, "o_totalprice", [], ["o_orderpriority"]), df).select(
+        "o_orderkey", r4("prediction", 2).alias("prediction"))
+
+
 @query("n3_linear_model")
 def n3(spark, sf):
     df = _priced(spark, sf)
-    return _predicted(models.linear_model("log_price", _NUM, _CAT, reg=1e-6).fit(df).transform(df))
+    return _predicted(models.linear_model("log_price", _NUM, _CAT).fit(df).transform(df))
+
+
+@query("n3_linear_summary", """
+WITH o AS (SELECT o_orderstatus AS s, o_totalprice / 1000 AS y FROM orders), g AS (SELECT s, COUNT(*) AS n, AVG(y) AS m, var_pop(y) * COUNT(*) AS ss FROM o GROUP BY 1),
+v AS (SELECT SUM(ss) / (SUM(n) - COUNT(*)) AS sigma FROM g), base AS (SELECT * FROM g ORDER BY s LIMIT 1),
+t AS (SELECT '(Intercept)' AS term, m AS estimate, sqrt(sigma / n) AS std_error FROM base, v
+  UNION ALL SELECT 'o_orderstatus' || g.s, g.m - base.m, sqrt(sigma / g.n + sigma / base.n) FROM g, base, v WHERE g.s <> base.s
+  UNION ALL SELECT 'again', NULL, NULL)
+SELECT term, round(estimate, 4) AS estimate, round(std_error, 4) AS std_error, round(estimate / std_error, 4) AS statistic FROM t""")
+def n3_summary(spark, sf):
+    """A factor, and a number that it explains: the number comes first and stays, unless it is constant as here."""
+    df = table(spark, sf, "orders").select("o_orderstatus", (F.col("o_totalprice") / 1000).alias("y"), F.lit(2.0).alias("again"))
+    fit = models.linear_model("y", ["again"], ["o_orderstatus"]).fit(df)
+    return models.glm_summary(fit, spark).select("term", *[r4(c).alias(c) for c in ("estimate", "std_error", "statistic")])
 
 
 @query("n4_lasso_cv")
 def n4(spark, sf):
-    df = VectorAssembler(inputCols=_NUM, outputCol="features").transform(_priced(spark, sf))
-    return models.search_results(models.lasso_cv(df, "log_price", "o_orderkey", k=4, n=6), spark)
+    path = linear.lasso(_priced(spark, sf), "log_price", "o_orderkey", _NUM, _CAT)
+    return path.table(spark).select("step", *[r4(c, 6).alias(c) for c in ("penalty", "error", "error_se")], "terms")
+
+
+@query("n4_lasso_single", """
+WITH o AS (SELECT o_totalprice / 1000 AS y, CAST(dayofyear(o_orderdate) AS DOUBLE) AS x FROM orders),
+m AS (SELECT covar_pop(x, y) / stddev_pop(x) AS c, stddev_pop(x) AS sd, AVG(x) AS mx, AVG(y) AS my FROM o),
+steps AS (SELECT CAST(UNNEST(range(5)) AS INTEGER) AS step),
+b AS (SELECT step, abs(c) * pow(10.0, -step) AS penalty, sign(c) * (abs(c) - abs(c) * pow(10.0, -step)) / sd AS slope, mx, my FROM steps, m)
+SELECT step, round(penalty, 5) AS penalty, round(slope, 5) AS slope, round(my - slope * mx, 4) AS intercept FROM b""")
+def n4_single(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("y"), F.dayofyear("o_orderdate").cast("double").alias("x"))
+    fit = linear.lasso(df, "y", "o_orderkey", ["x"], k=5, n=5)
+    rows = [(i, p, float(b[1]) + 0.0, float(b[0])) for i, (p, b) in enumerate(zip(fit.penalties, fit.path))]
+    return spark.createDataFrame(rows, "step int, penalty double, slope double, intercept double").select(
+        "step", r4("penalty", 5).alias("penalty"), r4("slope", 5).alias("slope"), r4("intercept").alias("intercept"))
 
 
 @query("n5_forest_classifier")
@@ -160,10 +215,16 @@ def n14(spark, sf):
 @query("n15_fit_predict")
 def n15(spark, sf):
     train, test = train_test_split(_priced(spark, sf), "o_orderkey", 0.8, 6)
-    est = models.linear_model("log_price", _NUM, _CAT, reg=1e-6)
-    path = sinks.save_model(est.fit(train), workspace.new_path(spark, "model"))
-    loaded = sinks.load_model(path)
-    return _predicted(loaded.transform(test))
+    return _predicted(models.fit_predict(models.linear_model("log_price", _NUM, _CAT), train, test))
+
+
+@query("a14_save_load_model", """
+SELECT o_orderkey, round(exp(AVG(ln(1 + o_totalprice)) OVER (PARTITION BY o_orderstatus)) - 1, 2) AS prediction FROM orders""")
+def a14(spark, sf):
+    df = _dated_orders(spark, sf)
+    fitted = models.log_linear(df, "o_totalprice", [], ["o_orderstatus"])
+    loaded = sinks.load_model(sinks.save_model(fitted, workspace.new_path(spark, "model")))
+    return models.log_linear_predict(loaded, df).select("o_orderkey", r4("prediction", 2).alias("prediction"))
 
 
 # ---- scores

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabkit.functions.scalars import round_even
+from tabkit.operators.linear import LinearFit
 
 
 def write_table(df: DataFrame, path: str, parts: int | None = None) -> str:
@@ -37,10 +39,18 @@ def submission(pred: DataFrame, id_col: str, pred_col: str, out_col: str, invers
     return pred.select(F.col(id_col).alias(id_out or id_col), value.alias(out_col))
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def save_model(model, path: str) -> str:
+    """A fitted pipeline in MLlib's own form, or a linear model as one line of text."""
+    if isinstance(model, LinearFit):
+        return model.save(SparkSession.active(), path)
     model.write().overwrite().save(path)
     return path
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str):
+    spark = SparkSession.active()
+    try:
+        spark.read.text(f"{path}/metadata").schema
+    except AnalysisException:
+        return LinearFit.load(spark, path)
     return PipelineModel.load(path)
