@@ -1,9 +1,11 @@
 """Quality rules: plain counts of each text, and how much likelier its n-grams are in trusted text.
 
-Two multinomials over n-grams (words and word pairs, as written, told apart by 64-bit hashes) are
-counted: one over the trusted documents, one over the whole corpus. A document's score is the mean
-over its n-grams of the log ratio of the two. Counts and ratios are rows that are shuffled, so nothing
-gathered bounds the vocabulary. The threshold is one number for all documents.
+Two hashed multinomials over n-grams (words and word pairs, as written) are counted in one pass: over the
+trusted documents and over the whole corpus. N-grams share 2^bits buckets; ``bits`` grows with the corpus
+up to ``MOST_BITS``. A document's score is the mean over its n-grams of the log ratio of the two. Each
+task adds its documents up before anything is shuffled, the ratios are one bounded array that every task
+gets, and scoring moves no text. A fifth of the trusted documents is held out of the trusted counts;
+the threshold is a low fence of their scores, so that it means the same at every size.
 """
 
 from __future__ import annotations
@@ -14,12 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType
 
 from tabkit.llm.texts import blocks, is_space, joined, mixed, owner, prefix_sums, raw, span_hashes, words
 from tabkit.sources.workspace import ship_package
 
 #: Characters that count as symbols (fixed by the rule).
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
+LEAST_WORDS, HELD_OUT, BLOCK, MOST_BITS, LISTED = 50, 5, 12, 22, 4_000_000
+LEAST_MARGIN = 0.05
+SENT = ["block", "at", "n", "spots", "trusted"]
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -67,7 +73,7 @@ def text_counts(data: np.ndarray, offsets: np.ndarray, sums: np.ndarray, found)
 
 
 def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
-    return (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
+    return (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
 
 
 def hashed_words(data, offsets):
@@ -77,103 +83,167 @@ def hashed_words(data, offsets):
 
 
 def ngrams(hashes: np.ndarray, doc: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document of each word and each pair of neighbouring words."""
+    """Bucket and document of each word and each pair of neighbouring words."""
     pair = np.flatnonzero(doc[1:] == doc[:-1])
     both = np.concatenate([hashes, joined([hashes[pair], hashes[pair + 1]])])
-    return both >> np.uint64(64 - bits), np.concatenate([doc, doc[pair]])
+    return (both >> np.uint64(64 - bits)).astype(np.int64), np.concatenate([doc, doc[pair]])
 
 
-def ngram_counts(rows: DataFrame, bits: int) -> DataFrame:
-    """gram, n and trusted: occurrences over all ``rows`` (text, good) and over good ones."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            _, hashes, doc = hashed_words(*raw(batch.column("text")))
-            gram, owners = ngrams(hashes, doc, bits)
-            good = batch.column("good").to_numpy(zero_copy_only=False)[owners]
-            gram, which, n = np.unique(gram, return_inverse=True, return_counts=True)
-            trusted = np.bincount(which, weights=good, minlength=len(gram)).astype(np.int64)
-            for k in range(0, len(gram), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k:k + (1 << 16)]) for x in (gram.view(np.int64), n, trusted)], ["gram", "n", "trusted"])
+class Members:
+    """Which rows of a batch have an id in a sorted array."""
 
-    return (rows.select("text", "good").mapInArrow(count, "gram long, n long, trusted long")
-            .groupBy("gram").agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted")))
+    def __init__(self, ids: np.ndarray):
+        self.ids = ids
 
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Trusted rows that count, and those that are held out."""
+        known = column.is_valid().to_numpy(zero_copy_only=False)
+        ids = column.fill_null(0).to_numpy()
+        at = np.minimum(np.searchsorted(self.ids, ids), max(len(self.ids) - 1, 0))
+        good = known & (self.ids[at] == ids) if len(self.ids) else np.zeros(len(ids), bool)
+        out = held_out(ids)
+        return good & ~out, good & out
 
-def postings(rows: DataFrame, bits: int) -> DataFrame:
-    """k1, k2, gram and times of each n-gram of each of ``rows`` (text, k1, k2)."""
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            _, hashes, doc = hashed_words(*raw(batch.column("text")))
-            gram, owners = ngrams(hashes, doc, bits)
-            order = np.lexsort((gram, owners))
-            gram, owners = gram[order], owners[order]
-            head = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (owners[1:] != owners[:-1])])[:len(gram)])
-            times = np.diff(np.append(head, len(gram)))
-            k1, k2 = (batch.column(k).to_numpy() for k in ("k1", "k2"))
-            for k in range(0, len(head), 1 << 16):
-                at = head[k:k + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k1[owners[at]], k2[owners[at]], gram[at].view(np.int64), times[k:k + (1 << 16)])],
-                                                 ["k1", "k2", "gram", "times"])
 
-    return rows.select("text", "k1", "k2").mapInArrow(emit, "k1 long, k2 long, gram long, times long")
+def held_out(ids: np.ndarray) -> np.ndarray:
+    return mixed(ids.astype(np.uint64) + np.uint64(1)) % np.uint64(HELD_OUT) == 0
 
 
-def text_scores(rows: DataFrame, bits: int, weight: float) -> DataFrame:
-    """k1, k2 and score of each text with a word among ``rows`` (text, k1, k2, good).
-
-    An n-gram's ratio is that of its trusted occurrences to those expected at the corpus's rate, each with
-    ``weight`` occurrences more, so it rests on the n-gram's own evidence at every size. Equal texts share a score.
-    """
-    counts = ngram_counts(rows, bits)
-    total = counts.agg(F.sum("n").alias("n"), F.sum("trusted").alias("trusted")).first()
-    rate = (total["trusted"] or 0) / max(total["n"] or 0, 1)
-    ratios = counts.select("gram", F.log((F.col("trusted") + weight) / (F.col("n") * F.lit(rate) + weight)).alias("ratio"))
-    return (postings(rows, bits).join(ratios.hint("merge"), "gram").groupBy("k1", "k2")
-            .agg((F.sum(F.col("times") * F.col("ratio")) / F.sum("times")).alias("score")))
+def trusted_column(batch: pa.RecordBatch, members: Members | None) -> tuple[np.ndarray, np.ndarray]:
+    if members is not None:
+        return members.of(batch.column("doc_id"))
+    good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
+    out = held_out(batch.column("doc_id").fill_null(0).to_numpy())
+    return good & ~out, good & out
 
 
-def marked_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, its hashes k1 and k2, and whether some label calls the row good. Rows without doc_id have no label.
+def bucket_ratios(rows: DataFrame, members, bits: int, weight: float) -> np.ndarray:
+    """The log ratio of each bucket: its trusted occurrences to those expected at the corpus's rate, each
+    with ``weight`` occurrences more, so that it rests on the bucket's own evidence.
 
-    Both sides are shuffled at any size, so that cost and disk follow the input evenly.
+    A task's counts are sorted by bucket and sent in blocks of buckets, without the empty ones.
     """
-    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_keys("k1", "k2")).filter("text IS NOT NULL")
-    return rows.join(good.hint("merge"), "doc_id", "left").select("text", "k1", "k2", F.coalesce("good", F.lit(False)).alias("good"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, total = [], 0
+
+        def send():
+            bucket, n, trusted = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(bucket, kind="stable")
+            bucket, head = bucket[order], np.flatnonzero(np.diff(bucket[order], prepend=-1))
+            n, trusted = np.add.reduceat(n[order], head), np.add.reduceat(trusted[order], head)
+            bucket = bucket[head]
+            edges = np.flatnonzero(np.diff(bucket >> BLOCK, prepend=-1))
+            part = lambda x, kind: [x[i:j].astype(kind).tobytes() for i, j in zip(edges, np.append(edges[1:], len(bucket)))]     # noqa: E731
+            some = trusted > 0
+            where = [np.flatnonzero(some[i:j]).astype("<u2").tobytes() for i, j in zip(edges, np.append(edges[1:], len(bucket)))]
+            values = [x[x > 0].astype("<i4").tobytes() for x in (trusted[i:j] for i, j in zip(edges, np.append(edges[1:], len(bucket))))]
+            return pa.RecordBatch.from_arrays([pa.array((bucket[edges] >> BLOCK).astype(np.int32)), pa.array(part(bucket & ((1 << BLOCK) - 1), "<u2"), pa.binary()),
+                                               pa.array(part(n, "<i4"), pa.binary()), pa.array(where, pa.binary()), pa.array(values, pa.binary())], SENT)
 
+        for batch in blocks(batches):
+            _, hashes, doc = hashed_words(*raw(batch.column("text")))
+            gram, owners = ngrams(hashes, doc, bits)
+            good, _ = trusted_column(batch, members.value if members else None)
+            gram, which, n = np.unique(gram, return_inverse=True, return_counts=True)
+            found.append((gram, n, np.bincount(which, weights=good[owners], minlength=len(gram)).astype(np.int64)))
+            total += len(gram)
+            if total > 1 << 22:
+                yield send()
+                found, total = [], 0
+        if total:
+            yield send()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, at, n, where, values in zip(*(batch.column(c).to_pylist() for c in SENT)):
+                both = sums.setdefault(block, np.zeros((2, 1 << BLOCK), np.int64))
+                at = np.frombuffer(at, "<u2")
+                both[0, at] += np.frombuffer(n, "<i4")
+                both[1, at[np.frombuffer(where, "<u2")]] += np.frombuffer(values, "<i4")
+        for block, both in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([both.tobytes()], pa.binary())], ["block", "sums"])
+
+    sent = rows.mapInArrow(count, "block int, at binary, n binary, spots binary, trusted binary")
+    counts = np.zeros((2, 1 << bits), np.int64)
+    for r in sent.repartition("block").mapInArrow(add, "block int, sums binary").toLocalIterator():      # 2^bits numbers twice, at most 64 MB
+        both = np.frombuffer(r["sums"], np.int64).reshape(2, -1)
+        at = r["block"] << BLOCK
+        counts[:, at:at + both.shape[1]] = both[:, :counts.shape[1]]
+    rate = counts[1].sum() / max(counts[0].sum(), 1)
+    return np.log((counts[1] + weight) / (counts[0] * rate + weight)).astype(np.float32)
+
+
+def text_scores(hashes: np.ndarray, doc: np.ndarray, documents: int, ratios: np.ndarray) -> np.ndarray:
+    """Mean log ratio of each document's n-grams; 0 without words."""
+    gram, owners = ngrams(hashes, doc, int(len(ratios)).bit_length() - 1)
+    n = np.bincount(owners, minlength=documents)
+    return np.bincount(owners, weights=ratios[gram], minlength=documents) / np.maximum(n, 1)
+
+
+def low_fence(rows: DataFrame, members, ratios, quantile: float) -> float:
+    """The given quantile of held-out trusted scores, less one and a half times its distance from their median, at
+    least ``LEAST_MARGIN`` (few held-out documents lie close together).
+
+    Scores are counted in steps of 1e-4, so that what reaches the driver does not grow with the rows. Without
+    held-out documents nothing is below the fence.
+    """
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            _, out = trusted_column(batch, members.value if members else None)
+            batch = batch.filter(pa.array(out))
+            _, hashes, doc = hashed_words(*raw(batch.column("text")))
+            scores = text_scores(hashes, doc, batch.num_rows, ratios.value)[np.bincount(doc, minlength=batch.num_rows) >= LEAST_WORDS]
+            step, n = np.unique(np.floor(scores * 10_000).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n)], ["step", "n"])
 
-def text_keys(k1: str, k2: str):
-    return F.xxhash64("text").alias(k1), F.xxhash64(F.lit(7), "text").alias(k2)
+    found = rows.mapInArrow(score, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()
+    if not found:
+        return float("-inf")
+    step, upto = np.array([r["step"] for r in found]) / 10_000, np.cumsum([r["n"] for r in found])
+    low, middle = (float(step[np.searchsorted(upto, q * upto[-1], "left")]) for q in (quantile, 0.5))
+    return low - max(1.5 * (middle - low), LEAST_MARGIN)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, bits: int = 64, weight: float = 10.0,
-                   threshold: float = -0.08) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, *, bits: int | None = None, weight: float = 10.0,
+                   quantile: float = 0.05, listed: int = LISTED) -> DataFrame:
     """Counts, score and verdict of every row of ``docs``; other columns than doc_id and text are passed on.
 
-    A row is kept unless it has under 50 words, more than half of its words stand in repeated
-    three-word windows, or its score is below the threshold. Null and empty texts have no words:
-    counts and score are 0 and they are not kept. Without trusted rows all scores are 0. Columns
-    of ``docs`` named like an added column are left out. Repeated rows each get their row.
-    ``bits`` of the n-grams' hashes are used; fewer than 64 are for tests.
+    A row is kept unless it has under 50 words, more than half of its words stand in repeated three-word
+    windows, or its score is below the fence of held-out trusted scores. Null and empty texts have no
+    words: counts and score are 0 and they are not kept. Texts of any length are read whole. Without trusted
+    rows all scores are 0 and none is below the fence. Columns of ``docs`` named like an added column are
+    left out. Repeated rows count each time and each get their row; a null doc_id has no label. An empty
+    table gives no rows. Trusted ids are broadcast up to ``listed`` of them (8 bytes each); beyond, they are joined.
     """
     spark = docs.sparkSession
     ship_package(spark)
     added = [*COUNTS, "base_failed", "score", "kept"]
-    scores = text_scores(marked_rows(docs, labels), bits, weight).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "score")
     passed = [c for c in docs.columns if c not in added]
+    good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    rows, members = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL"), None
+    ids = [r[0] for r in good.limit(listed + 1).collect()]
+    if len(ids) <= listed:
+        members = spark.sparkContext.broadcast(Members(np.sort(np.array(ids, np.int64))))
+    else:
+        rows = rows.join(good.withColumn("good", F.lit(True)), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    if bits is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        bits = min(MOST_BITS, max(BLOCK, (size >> 8).bit_length()))
+    ratios = spark.sparkContext.broadcast(bucket_ratios(rows, members, bits, weight))
+    fence = low_fence(rows, members, ratios, quantile)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             data, offsets = raw(batch.column("text"))
             sums, hashes, doc = hashed_words(data, offsets)
             counts = text_counts(data, offsets, sums, (hashes, doc))
+            failed, score = base_failed(counts), text_scores(hashes, doc, batch.num_rows, ratios.value)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in [*passed, "__k1", "__k2"]), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS),
-                 pa.array(base_failed(counts))], [*passed, "__k1", "__k2", *COUNTS, "base_failed"])
-
-    keyed = docs.select(*passed, *text_keys("__k1", "__k2"))
-    schema = docs.select(*passed, *text_keys("__k1", "__k2")).schema
-    for c in (*COUNTS, "base_failed"):
-        schema = schema.add(c, "boolean" if c == "base_failed" else "long")
-    judged = keyed.mapInArrow(judge, schema).join(scores.hint("merge"), ["__k1", "__k2"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).select(*passed, *added)
+                [*(batch.column(c) for c in passed), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS),
+                 pa.array(failed), pa.array(score), pa.array(~failed & (score >= fence))], [*passed, *added])
+
+    schema = docs.select(*passed).schema
+    for c in added:
+        schema = schema.add(c, DoubleType() if c == "score" else LongType() if c in COUNTS else BooleanType())
+    return docs.select(*passed).mapInArrow(judge, schema)

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,19 +58,41 @@ def test_verdicts_and_edges(spark):
     assert all(r["score"] == 0 for r in quality.quality_scores(docs, labels.limit(0)).collect())
 
 
-def test_scores_are_those_of_single_ngrams(spark):
-    """No n-grams share a count, however many there are: scores equal those of plain Python."""
+def scored(spark, texts, trusted, bits, **kw):
+    """Scores by the operator and by plain counting over buckets of n-grams."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < trusted), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    grams = []
+    for t in texts:
+        _, hashes, doc = quality.hashed_words(*raw(pa.array([t])))
+        grams.append(quality.ngrams(hashes, doc, bits)[0].tolist())
+    counts = [not out and i < trusted for i, out in enumerate(quality.held_out(np.arange(len(texts))))]
+    corpus, good = Counter(g for d in grams for g in d), Counter(g for d, c in zip(grams, counts) if c for g in d)
+    rate = good.total() / corpus.total()
+    want = [np.mean([np.log((good[g] + 10) / (corpus[g] * rate + 10)) for g in d]) for d in grams]
+    got = {r["doc_id"]: (r["score"], r["kept"]) for r in quality.quality_scores(docs, labels, bits=bits, **kw).collect()}
+    return got, want
+
+
+@pytest.mark.parametrize("bits,listed", [(10, 1000), (14, 1000), (22, 1000), (14, 5)])
+def test_scores_against_plain_counts(spark, bits, listed):
     random.seed(9)
     word = lambda: "".join(random.choices("abcdefghijklmnop", k=6))
     common = [word() for _ in range(50)]
     texts = [" ".join(random.choice(common) if random.random() < 0.3 else word() for _ in range(300)) for _ in range(150)]
-    texts.append(texts[3])
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(100)], "doc_id long, quality int, toxic int")
-    grams = [[*t.split(" "), *zip(t.split(" "), t.split(" ")[1:])] for t in texts]
-    corpus, trusted = Counter(g for d in grams for g in d), Counter(g for d in grams[:60] for g in d)
-    assert len(corpus) > 4 * 2 ** 14
-    rate = trusted.total() / corpus.total()
-    want = [np.mean([np.log((trusted[g] + 10) / (corpus[g] * rate + 10)) for g in d]) for d in grams]
-    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels).collect()}
-    assert np.allclose([got[i] for i in range(len(texts))], want)
+    texts += [texts[3], "one " * 60 + "z" * 200_000]
+    got, want = scored(spark, texts, 60, bits, listed=listed)
+    assert np.allclose([got[i][0] for i in range(len(texts))], want, atol=1e-6)
+    held = sorted(np.floor(w * 10_000) / 10_000 for i, w in enumerate(want) if i < 60 and quality.held_out(np.arange(60))[i])
+    low, middle = (held[int(np.ceil(q * len(held))) - 1] for q in (0.05, 0.5))
+    fence = low - max(1.5 * (middle - low), 0.05)
+    assert all(got[i][1] == (want[i] >= fence) for i in range(150) if abs(want[i] - fence) > 1e-5)
+
+
+def test_buckets_grow_with_the_corpus(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "bucket_ratios", lambda rows, members, bits, weight: seen.append(bits) or np.zeros(1 << bits, np.float32))
+    for size in (10, 3_000_000):
+        docs = spark.createDataFrame([(1, "word " * (size // 5))], "doc_id long, text string")
+        quality.quality_scores(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count()
+    assert seen == [quality.BLOCK, 14]
