@@ -261,6 +261,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, *, hot: int = 17, dense: int = 20, name_bits: int = 64) -> DataFrame:
     """doc_id, n_shingles, class_id, n_links of the class to others where tried, and component_id of every row.
 
+    Two more columns tell rows apart whose ids clash: text_key, the xxhash64 of the text, and component, a
+    number of the component that does not come from ids.
+
     Words are maximal runs of characters other than \\x20 and \\x09 to \\x0D, with A-Z in lower case; a
     set holds the distinct runs of five words, or the whole sequence of fewer. Sets link when
     100 * intersection >= 80 * union. A null or empty text, or one without words, has an empty set and
@@ -296,8 +299,32 @@ def jaccard_components(docs: DataFrame, *, hot: int = 17, dense: int = 20, name_
     classed = (classes.select("c", "least").join(labels.select(F.col("node").alias("c"), "component"), "c", "left")
                .withColumn("component", F.coalesce("component", "c")).join(degree, "c", "left"))
     ids = classed.groupBy("component").agg(F.min("least").alias("component_id"))
-    classed = classed.join(ids, "component").select("c", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select("doc_id", "n", "c").join(classed, "c", "left")
+    classed = classed.join(ids, "component").select("c", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = rows.select("doc_id", F.col("k1").alias("text_key"), "n", "c").join(classed, "c", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                      "text_key", F.when(F.col("n") > 0, F.col("component")).alias("component"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One document of each component of ``docs``: the least in doc_id, then text_key; equal rows of it are one.
+
+    Rows are told apart by doc_id and text, so rows that only share an id all stay; null ids come first. Null
+    and wordless texts stay. All columns are passed on; an empty table gives an empty one.
+    """
+    found = checkpointed(jaccard_components(docs).select("doc_id", F.col("text_key").alias("_key"), "n_shingles", "component"))
+    least = found.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct("doc_id", "_key")).alias("kept"))
+    rows = docs.withColumns({"_near_id": F.col("doc_id").cast("long"), "_near_key": F.xxhash64("text")})
+
+    def among(some: DataFrame, how: str) -> DataFrame:
+        side = some.select(F.col("doc_id").alias("_i"), F.col("_key").alias("_k")).distinct()
+        return rows.join(side, rows["_near_id"].eqNullSafe(side["_i"]) & (rows["_near_key"] == side["_k"]), how)
+
+    wordy = found.filter("n_shingles > 0")
+    kept = least.select("kept.*")
+    gone = wordy.join(kept, wordy["doc_id"].eqNullSafe(kept["doc_id"]) & (wordy["_key"] == kept["_key"]), "left_anti")
+    twice = kept.join(wordy.groupBy("doc_id", "_key").agg(F.count("*").alias("n")).filter("n > 1").withColumnsRenamed({"doc_id": "_d", "_key": "_y"}),
+                      kept["doc_id"].eqNullSafe(F.col("_d")) & (kept["_key"] == F.col("_y"))).select("doc_id", "_key")
+    single = among(checkpointed(gone.select("doc_id", "_key").unionByName(twice)), "left_anti")
+    return single.unionByName(among(twice, "left_semi").dropDuplicates(["_near_id", "_near_key"])).select(*docs.columns)

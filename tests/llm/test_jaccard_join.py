@@ -121,3 +121,15 @@ def test_components(spark):
     out = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {(r["node"], r["component"]) for r in out} == {(x, find(x)) for x in root} and len(out) == len(root)
     assert components(spark.createDataFrame([], "a long, b long")).filter(F.col("node") > 0).count() == 0
+
+
+def test_rows_with_clashing_ids_stay(spark):
+    """Rows are told apart by id and text; one of each component stays, and equal rows of it are one."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, c, "x"), (1, c, "x"), (None, b + " end", "x"), (8, None, "x"), (8, None, "x"), (9, "", "x"),
+            (2, "just three words", "x"), (2, "just three words", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    got = [tuple(r) for r in jaccard_join.without_near_duplicates(docs).collect()]
+    want = [(1, a, "x"), (None, b + " end", "x"), (1, c, "x"), (8, None, "x"), (8, None, "x"), (9, "", "x"), (2, "just three words", "x")]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert jaccard_join.without_near_duplicates(docs.limit(0)).count() == 0
