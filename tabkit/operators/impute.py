@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from tabkit.operators.agg import mode_of
 from tabkit.operators.neighbors import knn_join
 from tabkit.operators.order import (SPAN_ROWS, as_columns, fill, medians, needs_split, null_safe_join, over_rows,
                                     with_position)
+from tabkit.sources.workspace import checkpointed
 
 
 def impute(df: DataFrame, cols, how: str, by=(), ties: str = "smallest", order: str | None = None,
@@ -150,57 +152,113 @@ def _pchip_slopes(knots: DataFrame, keys, span_rows, split) -> DataFrame:
     return wide.select(*keys, "_x", "_y", slope.alias("_m"))
 
 
-def spline_values(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Interpolating cubic spline whose end pieces follow the cubic through the four end points."""
-    n = len(x)
-    if n == 0:
-        return np.full(len(at), np.nan)
-    if n < 4:
-        return np.polyval(np.polyfit(x - x[0], y, n - 1), at - x[0])
-    h = np.diff(x)
-    slope = np.diff(y) / h
-    lower, diag, upper, rhs = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
-    lower[1:-1], upper[1:-1] = h[:-1], h[1:]
-    diag[1:-1], rhs[1:-1] = 2 * (h[:-1] + h[1:]), np.diff(slope)
-
-    def third(i):  # third divided difference of four neighbouring points
-        second = [(slope[j + 1] - slope[j]) / (x[j + 2] - x[j]) for j in (i, i + 1)]
-        return (second[1] - second[0]) / (x[i + 3] - x[i])
-
-    diag[0], upper[0], rhs[0] = -h[0], h[0], h[0] ** 2 * third(0)
-    lower[-1], diag[-1], rhs[-1] = h[-1], -h[-1], -(h[-1] ** 2) * third(n - 4)
-    for i in range(1, n):  # elimination down, substitution up
-        f = lower[i] / diag[i - 1]
-        diag[i] -= f * upper[i - 1]
-        rhs[i] -= f * rhs[i - 1]
-    s = np.zeros(n)
-    s[-1] = rhs[-1] / diag[-1]
-    for i in range(n - 2, -1, -1):
-        s[i] = (rhs[i] - upper[i] * s[i + 1]) / diag[i]
-    piece = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
-    b = slope - h * (2 * s[:-1] + s[1:])
-    t = at - x[piece]
-    return y[piece] + t * (b[piece] + t * (3 * s[piece] + t * (s[piece + 1] - s[piece]) / h[piece]))
+def eliminated(lower, diag, upper, rhs) -> tuple[list[float], list[float], list[float]]:
+    """A stretch of a tridiagonal system solved for its unknowns as p + q L + r R, where L and R are the
+    unknowns before and after the stretch."""
+    n = len(diag)
+    d, p, q, r = [float(v) for v in diag], [float(v) for v in rhs], [0.0] * n, [0.0] * n
+    q[0], r[-1] = -float(lower[0]), -float(upper[-1])
+    for i in range(1, n):
+        f = lower[i] / d[i - 1]
+        d[i] -= f * upper[i - 1]
+        p[i] -= f * p[i - 1]
+        q[i] -= f * q[i - 1]
+    for i in range(n - 1, -1, -1):
+        if i < n - 1:
+            p[i] -= upper[i] * p[i + 1]
+            q[i] -= upper[i] * q[i + 1]
+            r[i] -= upper[i] * r[i + 1]
+        p[i], q[i], r[i] = p[i] / d[i], q[i] / d[i], r[i] / d[i]
+    return p, q, r
+
+
+def chained(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unknowns before and after each stretch, from (p, q, r) of the first and last place of each in a row."""
+    n = len(first)
+    a, b, alpha, beta = np.zeros((4, n))                     # first place: a + b R; last place: alpha + beta R
+    for j in range(n):
+        before, slope = (alpha[j - 1], beta[j - 1]) if j else (0.0, 0.0)
+        p, q, r = first[j]
+        a[j], b[j] = (p + q * before) / (1 - q * slope), r / (1 - q * slope)
+        p, q, r = last[j]
+        alpha[j], beta[j] = p + q * (before + slope * a[j]), q * slope * b[j] + r
+    left, right = np.zeros(n), np.zeros(n)
+    for j in range(n - 1, -1, -1):
+        right[j] = a[j + 1] + b[j + 1] * right[j + 1] if j < n - 1 else 0.0
+    left[1:] = (alpha + beta * right)[:-1]
+    return left, right
 
 
 def _spline(df, keys, order, col, digits, span_rows, split) -> DataFrame:
-    """One series is solved as a whole, so its length is checked: calendars are short."""
-    if needs_split(df, keys, span_rows) if split is None else split:
-        raise ValueError("a spline needs each series within one task; aggregate it to a calendar first")
-    placed = with_position(df, order, keys, "_x", span_rows, False)
-    short = placed.select(*keys, "_x", F.col(col).cast("double").alias("_y"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in short.schema.fields])
+    """Interpolating cubic spline whose end pieces follow the cubic through the four end points; fewer than four
+    points give the polynomial through them.
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        known = pdf["_y"].notna().to_numpy()
-        order_known = pdf.loc[known].sort_values("_x")
-        values = spline_values(order_known["_x"].to_numpy(float), order_known["_y"].to_numpy(float),
-                               pdf["_x"].to_numpy(float))
-        return pdf.assign(_y=np.where(known, pdf["_y"].to_numpy(float), values))
-
-    solved = short.groupBy(*keys).applyInPandas(solve, schema)
-    value = F.col("_y") if digits is None else round_even(F.col("_y"), digits)
-    return null_safe_join(placed, solved, [*keys, "_x"]).withColumn(col, value).select(*df.columns)
+    The second derivatives solve a tridiagonal system. It is cut into stretches of ``span_rows`` points: each
+    is solved in terms of the unknowns before and after it, the stretches' ends make a system of
+    their own with one row per stretch, and its solution is put back. A series may have any length.
+    """
+    split = needs_split(df, keys, span_rows) if split is None else split
+    placed = with_position(df, order, keys, "_x", span_rows, split).withColumn("_y", F.col(col).cast("double"))
+    knots = placed.filter("_y IS NOT NULL").select(*keys, "_x", "_y")
+    knots = null_safe_join(knots, knots.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
+    knots = with_position(knots, [F.col("_x")], keys, "_k", span_rows, split)
+    steps = [i for i in range(-3, 4) if i]
+    wide = over_rows(knots, keys, [F.col("_x")], lambda w: {
+        f"_{c}{i}": (F.lag(f"_{c}", -i) if i < 0 else F.lead(f"_{c}", i)).over(w) for c in "xy" for i in steps}, 3, 3, span_rows, split)
+
+    def gap(i):                                              # from point i to the next, counted from this row
+        x = lambda j: F.col(f"_x{j}" if j else "_x")                                        # noqa: E731
+        return (x(i + 1) - x(i)).cast("double")
+
+    def divided(i, size):                                    # divided difference of ``size`` + 1 points from point i on
+        if size == 0:
+            return F.col(f"_y{i}" if i else "_y")
+        return (divided(i + 1, size - 1) - divided(i, size - 1)) / reduce(lambda a, b: a + b, [gap(i + j) for j in range(size)])
+
+    first, last, few, zero = F.col("_k") == 1, F.col("_k") == F.col("_n"), F.col("_n") < 4, F.lit(0.0)
+    bend = F.when(F.col("_n") < 3, 0.0).when(first, divided(0, 2)).when(last, divided(-2, 2)).otherwise(divided(-1, 2)) / 3.0
+    rows = wide.select(
+        *keys, "_x", "_y", "_k", "_n", F.coalesce(gap(0), gap(-1), F.lit(1.0)).alias("_h"), F.coalesce(divided(0, 1), divided(-1, 1), zero).alias("_slope"),
+        F.when(few | first, 0.0).otherwise(gap(-1)).alias("_lower"), F.when(few | last, 0.0).otherwise(gap(0)).alias("_upper"),
+        F.when(few, 1.0).when(first, -gap(0)).when(last, -gap(-1)).otherwise(2.0 * (gap(-1) + gap(0))).alias("_diag"),
+        F.when(few, bend).when(first, gap(0) * gap(0) * divided(0, 3)).when(last, -gap(-1) * gap(-1) * divided(-3, 3))
+        .otherwise(divided(0, 1) - divided(-1, 1)).alias("_rhs"),
+        F.floor((F.col("_k") - 1) / span_rows).cast("bigint").alias("_block"))
+    system = ["_lower", "_diag", "_upper", "_rhs"]
+    passed = [c for c in rows.columns if c not in system]
+
+    def solve(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_k")
+        found = eliminated(*(part.column(c).to_numpy() for c in system))
+        return pa.Table.from_arrays([*(part.column(c) for c in passed), *(pa.array(v, pa.float64()) for v in found)], [*passed, "_p", "_q", "_r"])
+
+    schema = rows.select(*passed, *[zero.alias(c) for c in ("_p", "_q", "_r")]).schema
+    parts = checkpointed(rows.groupBy(*keys, "_block").applyInArrow(solve, schema))
+    ends = parts.groupBy(*keys, "_block").agg(*[pick(F.struct("_p", "_q", "_r"), "_k").alias(c) for c, pick in (("_first", F.min_by), ("_last", F.max_by))])
+
+    def chain(part: pa.Table) -> pa.Table:                   # one row per stretch of a series
+        part = part.sort_by("_block")
+        sides = [np.array([[v["_p"], v["_q"], v["_r"]] for v in part.column(c).to_pylist()]) for c in ("_first", "_last")]
+        return pa.Table.from_arrays([*(part.column(k) for k in [*keys, "_block"]), *(pa.array(v) for v in chained(*sides))], [*keys, "_block", "_left", "_right"])
+
+    sides = ends.groupBy(*keys).applyInArrow(chain, ends.select(*keys, "_block", zero.alias("_left"), zero.alias("_right")).schema) if keys else (
+        ends.groupBy(F.lit(0)).applyInArrow(chain, ends.select("_block", zero.alias("_left"), zero.alias("_right")).schema))
+    bent = null_safe_join(parts, sides, [*keys, "_block"]).withColumn("_s", F.col("_p") + F.col("_q") * F.col("_left") + F.col("_r") * F.col("_right"))
+    around = over_rows(bent.select(*keys, "_x", "_y", "_n", "_k", "_h", "_slope", "_s"), keys, [F.col("_x")], lambda w: {
+        "_s1": F.lead("_s").over(w), "_x_": F.lag("_x").over(w), "_y_": F.lag("_y").over(w), "_s_": F.lag("_s").over(w)}, 1, 1, span_rows, split)
+    # A knot carries the piece that begins there; the last one that which ends there.
+    ends_here = last & (F.col("_n") > 1)
+    one = lambda here, before: F.when(ends_here, F.col(before)).otherwise(F.col(here))       # noqa: E731
+    piece = F.struct(one("_x", "_x_").alias("x"), one("_y", "_y_").alias("y"), one("_s", "_s_").alias("s"),
+                     F.when(ends_here, F.col("_s")).otherwise(F.coalesce("_s1", "_s")).alias("e"), F.col("_h").alias("h"), F.col("_slope").alias("m"))
+    marked = null_safe_join(placed, around.select(*keys, "_x", piece.alias("_prev")), [*keys, "_x"]).withColumn("_next", F.col("_prev"))
+    marked = fill(marked, keys, [F.col("_x")], ["_prev"], "forward", span_rows, split)
+    marked = fill(marked, keys, [F.col("_x")], ["_next"], "backward", span_rows, split)
+    at = F.coalesce("_prev", "_next")
+    t = F.col("_x") - at["x"]
+    value = at["y"] + t * (at["m"] - at["h"] * (2 * at["s"] + at["e"]) + t * (3 * at["s"] + t * (at["e"] - at["s"]) / at["h"]))
+    value = F.coalesce(F.col("_y"), value)
+    return marked.withColumn(col, value if digits is None else round_even(value, digits)).select(*df.columns)
 
 
 def impute_by_model(df: DataFrame, key: str, target: str, estimator) -> DataFrame:
@@ -213,32 +271,39 @@ def impute_by_model(df: DataFrame, key: str, target: str, estimator) -> DataFram
 def chained_impute(df: DataFrame, key: str, cols, m: int = 1, iters: int = 3, seed: int = 0, span_rows: int = SPAN_ROWS) -> DataFrame:
     """Multiple imputation by chained equations with predictive mean matching.
 
-    Each column in turn is regressed on the others; a missing value takes the observed value
-    of a donor row with the nearest prediction. Donors are found by sorting on the prediction,
-    alternately the next lower and the next higher one by a hash of the key, so no pairs of
-    rows are formed. Returns one completed table per imputation, with its number.
+    Each column in turn is regressed on the others, and coefficients are drawn from their posterior. A missing
+    value takes the observed value of the row whose fitted value is nearest to the value that the drawn
+    coefficients predict. Donors are found by one sort on the predictions, the nearer of the next lower
+    and the next higher one (a hash of the key decides between equals), so no pairs of rows are formed.
+    Returns one completed table per imputation, with its number.
     """
     from tabkit.operators.stats import ols
-    from tabkit.sources.workspace import checkpointed
 
     cols = list(cols)
     gaps = [r["column"] for r in _na_columns(df, cols)]
-    flagged = df.withColumns({f"_na_{c}": F.col(c).isNull() for c in gaps})
+    flagged = checkpointed(df.withColumns({f"_na_{c}": F.col(c).isNull() for c in gaps}))
     out = []
     for i in range(m):
         done = impute(flagged.withColumns({c: F.col(c).cast("double") for c in cols}), cols, "mean")
         for step in range(iters):
-            for c in gaps:
+            for at, c in enumerate(gaps):
                 others = [o for o in cols if o != c]
                 fit = ols(done.filter(~F.col(f"_na_{c}")), c, others)
-                scored = done.withColumn("_p", fit.predict())
-                done = _match_donors(scored, key, c, seed + 1000 * i + step, span_rows).drop("_p")
-            done = checkpointed(done)
+                drawn = posterior_draw(fit, np.random.default_rng([seed, i, step, at]))
+                scored = done.withColumn("_p", F.when(F.col(f"_na_{c}"), drawn.predict()).otherwise(fit.predict()))
+                done = checkpointed(_match_donors(scored, key, c, seed + 1000 * i + step, span_rows).drop("_p"))
         out.append(done.select(F.lit(i + 1).alias("imputation"), *df.columns))
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result
+    return reduce(DataFrame.unionByName, out)
+
+
+def posterior_draw(fit, rng: np.random.Generator):
+    """The fit with coefficients drawn from their posterior under a flat prior: the variance from its scaled
+    inverse chi-squared, the coefficients around their estimates by the Cholesky factor of their covariance."""
+    sigma = np.sqrt(fit.sse / rng.chisquare(fit.n - len(fit.x) - 1))
+    slopes = fit.beta[1:]
+    centred = np.concatenate([[fit.beta[0] + slopes @ fit.means], slopes])
+    drawn = centred + sigma * np.linalg.cholesky(fit.xtx_inv) @ rng.standard_normal(len(centred))
+    return replace(fit, beta=np.concatenate([[drawn[0] - drawn[1:] @ fit.means], drawn[1:]]))
 
 
 def _na_columns(df, cols):
@@ -255,6 +320,7 @@ def _match_donors(scored: DataFrame, key: str, col: str, seed: int, span_rows: i
     placed = placed.withColumn("_all", F.lit(0))
     placed = fill(placed, ["_all"], ["_at"], ["_low"], "forward", span_rows)
     placed = fill(placed, ["_all"], ["_at"], ["_high"], "backward", span_rows)
-    lower_first = F.substring(hash_text(F.col(key), seed=seed), 1, 1) < "8"
-    donor = F.when(lower_first, F.coalesce("_low", "_high")).otherwise(F.coalesce("_high", "_low"))
+    below, above = F.col("_p") - F.col("_low._p"), F.col("_high._p") - F.col("_p")
+    lower = F.when(below == above, F.substring(hash_text(F.col(key), seed=seed), 1, 1) < "8").otherwise(below < above)
+    donor = F.when(F.col("_high").isNull() | lower, F.col("_low")).otherwise(F.col("_high"))
     return placed.withColumn(col, F.when(missing, donor[col]).otherwise(F.col(col))).drop("_at", "_low", "_high", "_all")

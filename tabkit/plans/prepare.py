@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabkit.functions.numerics import normal_quantile_sql
 from tabkit.operators import encode, impute, neighbors, outliers, stats
+from tabkit.operators.order import with_position
 from tabkit.plans.registry import CUSTOMER_GAPS, DAILY_CTE, customer_gaps, daily_panel, query, r4, table
 
 # ---- missing values
@@ -83,6 +84,17 @@ def k6(spark, sf):
     return impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "spline", 2, split=False)
 
 
+@query("k6_spline_cubic", f"""
+WITH {DAILY_CTE}, placed AS (SELECT prio, d, CAST(row_number() OVER (PARTITION BY prio ORDER BY d) AS DOUBLE) / 97 AS x FROM panel)
+SELECT prio, d, round(1 - 2 * x + 0.5 * x * x - 0.03 * x * x * x, 4) AS v FROM placed""")
+def k6_cubic(spark, sf):
+    """A spline through points of a cubic is that cubic, also past its ends."""
+    placed = with_position(daily_panel(spark, sf).select("prio", "d"), ["d"], ["prio"], "at", split=False).withColumn("x", F.col("at") / 97)
+    x = F.col("x")
+    known = placed.withColumn("v", F.when((F.col("at") % 3 != 0) & (F.col("at") > 2), 1 - 2 * x + 0.5 * x * x - 0.03 * x * x * x))
+    return impute.interpolate(known, ["prio"], ["d"], "v", "spline", split=False).select("prio", "d", r4("v").alias("v"))
+
+
 @query("k7_linear", _series_sql("round(COALESCE(qty, y0 + (y1 - y0) * t, y1, y0), 6)"))
 def k7(spark, sf):
     out = impute.interpolate(daily_panel(spark, sf), ["prio"], ["d"], "qty", "linear", split=False)

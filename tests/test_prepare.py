@@ -188,11 +188,41 @@ def test_spline_reproduces_cubics(spark):
     df = spark.createDataFrame([("a", i, cubic(i + 1) if 3 <= i <= 20 and i % 3 else None) for i in range(25)], "s string, i int, v double")
     for r in impute.interpolate(df, ["s"], ["i"], "v", "spline").collect():
         assert r["v"] == pytest.approx(cubic(r["i"] + 1), abs=1e-8)
-    x = np.array([0.0, 1, 3, 4, 7]); y = np.array([1.0, -1, 2, 0, 5])
-    assert impute.spline_values(x, y, x) == pytest.approx(y)
-    assert np.isnan(impute.spline_values(x[:0], y[:0], x)).all()
-    with pytest.raises(ValueError):
-        impute.interpolate(df, ["s"], ["i"], "v", "spline", span_rows=3)
+
+
+def dense_spline(x, y, at):
+    """The whole system at once: second derivatives of an interpolating cubic with free end cubics."""
+    n = len(x)
+    if n < 4:
+        return np.polyval(np.polyfit(x, y, n - 1), at) if n else np.full(len(at), np.nan)
+    h, m = np.diff(x), np.zeros((n, n))
+    slope = np.diff(y) / h
+    rhs = np.concatenate([[0], np.diff(slope), [0]])
+    for i in range(1, n - 1):
+        m[i, i - 1:i + 2] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
+    third = lambda i: np.polyfit(x[i:i + 4] - x[i], y[i:i + 4], 3)[0]                          # noqa: E731
+    m[0, :2], rhs[0] = (-h[0], h[0]), h[0] ** 2 * third(0)
+    m[-1, -2:], rhs[-1] = (h[-1], -h[-1]), -h[-1] ** 2 * third(n - 4)
+    s = np.linalg.solve(m, rhs)
+    i = np.clip(np.searchsorted(x, at, side="right") - 1, 0, n - 2)
+    t = at - x[i]
+    return y[i] + t * (slope[i] - h[i] * (2 * s[i] + s[i + 1]) + t * (3 * s[i] + t * (s[i + 1] - s[i]) / h[i]))
+
+
+@pytest.mark.parametrize("span_rows", [2_000_000, 7])
+def test_spline_of_any_length(spark, span_rows):
+    """Stretches of seven points give what the dense system gives, for series of any number of points."""
+    rng = np.random.default_rng(7)
+    series = {f"s{n}": sorted(rng.choice(np.arange(1, 2 * n + 6), n, replace=False)) for n in (0, 1, 2, 3, 4, 5, 7, 8, 14, 15, 60)}
+    series[None] = [2, 3, 5, 9, 10]
+    data = [(s, i, float(rng.normal()) if i in at else None) for s, at in series.items() for i in range(1, 2 * len(at) + 8)]
+    df = spark.createDataFrame(data, "s string, i int, v double")
+    got = {(r["s"], r["i"]): r["v"] for r in impute.interpolate(df, ["s"], ["i"], "v", "spline", span_rows=span_rows).collect()}
+    for s, at in series.items():
+        known = {i: v for k, i, v in data if k == s and v is not None}
+        want = dense_spline(np.array(sorted(known), float), np.array([known[i] for i in sorted(known)]), np.arange(1, 2 * len(at) + 8, dtype=float))
+        mine = [got[s, i] for i in range(1, 2 * len(at) + 8)]
+        assert (mine == [None] * len(mine)) if not at else np.allclose(mine, want, rtol=1e-7, atol=1e-7), s
 
 
 def test_chained_impute_uses_observed_values(spark):
@@ -209,6 +239,40 @@ def test_chained_impute_uses_observed_values(spark):
     assert rows(one) == rows(impute.chained_impute(df, "k", ["a", "b"], m=1, iters=1, span_rows=25))
 
 
+def test_posterior_draws_spread_like_the_estimates():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 2)) + [5, -3]
+    y = 1 + x @ [2.0, -1.0] + rng.normal(size=60)
+    z = np.column_stack([np.ones(60), x])
+    beta, sse, *_ = np.linalg.lstsq(z, y, rcond=None)
+    c = np.column_stack([np.ones(60), x - x.mean(0)])
+    fit = stats.Fit("y", ["a", "b"], 60, x.mean(0), beta, np.linalg.inv(c.T @ c), float(sse[0]), 0.0)
+    draws = np.array([impute.posterior_draw(fit, np.random.default_rng([3, i])).beta for i in range(4000)])
+    cover = np.linalg.inv(z.T @ z) * sse[0] / 57
+    assert np.allclose(draws.mean(0), beta, atol=4 * np.sqrt(np.diag(cover) / 4000).max())
+    assert np.allclose(np.cov(draws.T), cover * 57 / 55, rtol=0.25, atol=2e-3)
+
+
+def test_chained_impute_takes_the_nearest_donor(spark):
+    """One gap: its donor is the row whose fitted value is nearest to what the drawn coefficients predict."""
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=80)
+    b = [float(v) for v in 2 * a + rng.normal(size=80)]
+    df = spark.createDataFrame([(i, float(x), None if i == 40 else b[i]) for i, x in enumerate(a)], "k int, a double, b double")
+    out = impute.chained_impute(df, "k", ["a", "b"], m=4, iters=1, seed=5)
+    known = np.arange(80) != 40
+    z = np.column_stack([np.ones(79), a[known]])
+    beta, sse, *_ = np.linalg.lstsq(z, np.array(b)[known], rcond=None)
+    c = a[known] - a[known].mean()
+    fit = stats.Fit("b", ["a"], 79, np.array([a[known].mean()]), beta, np.diag([1 / 79, 1 / (c @ c)]), float(sse[0]), 0.0)
+    want = []
+    for i in range(4):
+        drawn = impute.posterior_draw(fit, np.random.default_rng([5, i, 0, 0])).beta
+        want.append(np.array(b)[known][np.argmin(np.abs(z @ beta - drawn @ [1, a[40]]))])
+    got = {r["imputation"]: r["b"] for r in out.filter("k = 40").collect()}
+    assert [got[i + 1] for i in range(4)] == want and len(set(want)) > 1
+
+
 def test_impute_by_model(spark):
     df = spark.createDataFrame([(i, float(i), None if i % 5 == 0 else 2.0 * i + 1) for i in range(50)], "k int, x double, y double")
     est = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(solver="normal")])
