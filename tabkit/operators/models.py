@@ -6,9 +6,8 @@ import random
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
@@ -81,21 +80,6 @@ def gbt_regressor(y: str, numeric, categorical=(), rounds: int = 100, rate: floa
     return pipeline(est, numeric, categorical, one_hot=False)
 
 
-def gbt_multiclass(df: DataFrame, y: str, features_col: str, rounds: int = 20, depth: int = 3, rate: float = 0.1,
-                   seed: int = 7):
-    """One boosted model per class against the rest. Labels are 0..k-1 doubles."""
-    est = OneVsRest(classifier=GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed),
-                    labelCol=y, featuresCol=features_col, parallelism=4)
-    return est.fit(df)
-
-
-def with_class_probabilities(scored: DataFrame, margins: str = "rawPrediction") -> DataFrame:
-    """Probabilities from the margins of the one-against-rest models, scaled to sum to one."""
-    p = F.transform(vector_to_array(margins), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-    total = F.aggregate(p, F.lit(0.0), lambda a, b: a + b)
-    return scored.withColumn("probability", F.transform(p, lambda x: x / F.nullif(total, F.lit(0.0))))
-
-
 def grid_search(est, grid, df: DataFrame, key: str, k: int, evaluator, seed: int = 0, parallelism: int = 4):
     """Exhaustive search with k-fold validation; folds come from a hash of the key."""
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=evaluator, numFolds=k, foldCol="fold",
@@ -144,6 +128,40 @@ def random_search(est, space: dict, n_trials: int, df: DataFrame, key: str, k: i
     return grid_search(est, sample_space(space, n_trials, seed), df, key, k, evaluator, seed, parallelism)
 
 
+def halving_search(est, space: dict, n_trials: int, df: DataFrame, key: str, evaluator, eta: int = 3, seed: int = 0,
+                   least: float | None = None, valid: float = 0.25) -> tuple[DataFrame, object]:
+    """Random settings under a budget of rows: successive halving on nested hashed samples.
+
+    A share ``valid`` of the rows, by a hash of the key, judges every setting. All settings are fitted on a small
+    sample of the others; the best 1/``eta`` go on to a sample ``eta`` times as large that holds the
+    one before, until one is fitted on all. ``least`` is the first sample's share, by default so that the last
+    rung is the first with one setting. Returns the report (rung, share, candidate, settings, score, kept) and the last rung's best model.
+    """
+    trials = sample_space(space, n_trials, seed)
+    rungs, left = 1, n_trials
+    while left > 1:
+        left, rungs = max(1, left // eta), rungs + 1
+    share = least if least is not None else float(eta) ** (1 - rungs)
+    rows = checkpointed(df.withColumns({"_judge": hash_unit(F.col(key), seed=seed) < valid, "_at": hash_unit(F.col(key), seed=seed + 1)}))
+    judge, train = rows.filter("_judge"), rows.filter("NOT _judge")
+    alive, report, best = list(range(n_trials)), [], None
+    sign = 1.0 if evaluator.isLargerBetter() else -1.0
+    for rung in range(rungs):
+        share = 1.0 if rung == rungs - 1 else min(1.0, share)
+        sample = train.filter(F.col("_at") < share)
+        scored = []
+        for c in alive:
+            model = est.copy(trials[c]).fit(sample)
+            scored.append((c, float(evaluator.evaluate(model.transform(judge))), model))
+        scored.sort(key=lambda s: (-sign * s[1], s[0]))
+        keep = max(1, len(alive) // eta) if rung < rungs - 1 else 1
+        kept = {c for c, _, _ in scored[:keep]}
+        settings = lambda c: "; ".join(f"{p.name}={v}" for p, v in sorted(trials[c].items(), key=lambda t: t[0].name))     # noqa: E731
+        report += [(rung, share, c, settings(c), score, c in kept) for c, score, _ in sorted(scored, key=lambda s: s[0])]
+        alive, best, share = sorted(kept), scored[0][2], share * eta
+    return df.sparkSession.createDataFrame(report, "rung int, share double, candidate int, settings string, score double, kept boolean"), best
+
+
 def bootstrap_fit(make, df: DataFrame, key: str, n: int, seed: int = 0) -> list:
     """n models, each on a Poisson bootstrap of the rows drawn by a hash of the key.
 

@@ -10,7 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from tabkit.operators import agg, linear, metrics, models, recommend
+from tabkit.operators import agg, boosting, linear, metrics, models, recommend
 from tabkit.operators.rows import kfold, train_test_split
 from tabkit.plans.registry import hash_sql, query, r4, table, unit_sql
 from tabkit.sources import sinks, workspace
@@ -161,11 +161,27 @@ def n7(spark, sf):
 def n8(spark, sf):
     df = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("double").alias("label"),
                                                array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = models.gbt_multiclass(df, "label", "features", rounds=2, depth=2)
-    scored = models.with_class_probabilities(model.transform(df))
+    scored = boosting.softmax_boost(df, "label", "features", rounds=2, depth=2).transform(df)
     return scored.select("vec_id", "prediction", r4(F.array_max("probability"), 6).alias("probability"))
 
 
+@query("n8_softmax_stump", """
+WITH o AS (SELECT o_orderkey, month(o_orderdate) > 6 AS late, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS y FROM orders),
+s AS (SELECT y AS c, COUNT(*) / SUM(COUNT(*)) OVER () AS p FROM o GROUP BY 1),
+g AS (SELECT late, c, CASE WHEN y = c THEN 1 ELSE 0 END - p AS r, p FROM o, s),
+v AS (SELECT late, c, ln(any_value(p)) + 0.5 * 2 / 3 * SUM(r) / SUM(abs(r) * (1 - abs(r))) AS m FROM g GROUP BY 1, 2),
+q AS (SELECT late, c, exp(m) / SUM(exp(m)) OVER (PARTITION BY late) AS p FROM v)
+SELECT o_orderkey, round(f.p, 6) AS p_f, round(x.p, 6) AS p_o, round(z.p, 6) AS p_p FROM o JOIN q f ON f.late = o.late AND f.c = 0 JOIN q x ON x.late = o.late AND x.c = 1
+JOIN q z ON z.late = o.late AND z.c = 2""")
+def n8_stump(spark, sf):
+    """One round of trees of depth one on one flag: each leaf's step in closed form."""
+    df = table(spark, sf, "orders").select("o_orderkey", (F.month("o_orderdate") > 6).cast("double").alias("late"),
+                                           F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2).alias("y"))
+    df = VectorAssembler(inputCols=["late"], outputCol="features").transform(df)
+    scored = boosting.softmax_boost(df, "y", rounds=1, depth=1, rate=0.5).transform(df)
+    return scored.select("o_orderkey", *[r4(F.get("probability", F.lit(c)), 6).alias(f"p_{name}") for c, name in enumerate("fop")])
+
+
 @query("n9_grid_search")
 def n9(spark, sf):
     rf = RandomForestClassifier(labelCol="quality", seed=1)
@@ -188,6 +204,14 @@ def n11(spark, sf):
     return models.search_results(models.random_search(est, space, 3, _priced(spark, sf), "o_orderkey", 2, _rmse(), seed=5), spark)
 
 
+@query("n11_halving_search")
+def n11_halving(spark, sf):
+    gbt = GBTRegressor(labelCol="log_price", seed=1, maxIter=3)
+    space = {gbt.stepSize: (0.01, 0.5, "log"), gbt.maxDepth: (2, 4, "int")}
+    report, _ = models.halving_search(models.pipeline(gbt, _NUM), space, 4, _priced(spark, sf), "o_orderkey", _rmse(), eta=2, seed=5)
+    return report
+
+
 @query("n12_ensemble")
 def n12(spark, sf):
     df = _priced(spark, sf)

@@ -13,7 +13,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
-from tabkit.operators import metrics, models, recommend, series
+from tabkit.operators import boosting, metrics, models, recommend, series
 from tabkit.sources import sinks, workspace
 from tests.conftest import rows
 
@@ -264,6 +264,28 @@ def test_random_settings_stay_in_range():
     assert trials == models.sample_space({"a": (1e-4, 1e-1, "log"), "b": (2, 5, "int"), "c": ["x", "y"]}, 50, 1)
 
 
+def test_halving_keeps_the_best_setting(linear):
+    df, *_ = linear
+    lr = LinearRegression(labelCol="y", elasticNetParam=0.0)
+    space = {lr.regParam: [0.0, 1.0, 10.0, 100.0, 1000.0]}
+    ev = RegressionEvaluator(labelCol="y", metricName="rmse")
+    est = models.pipeline(lr, ["a", "b", "c"])
+    report, best = models.halving_search(est, space, 9, df, "k", ev, eta=3, seed=2)
+    rungs = {}
+    for r in report.collect():
+        rungs.setdefault(r["rung"], []).append(r)
+    assert [len(rungs[i]) for i in range(3)] == [9, 3, 1] and [round(rungs[i][0]["share"], 4) for i in range(3)] == [0.1111, 0.3333, 1.0]
+    assert [sum(r["kept"] for r in rungs[i]) for i in range(3)] == [3, 1, 1]
+    values = [float(r["settings"].split("=")[1]) for r in rungs[0]]
+    assert float(rungs[2][0]["settings"].split("=")[1]) == min(values)
+    for i in range(2):
+        assert {r["candidate"] for r in rungs[i] if r["kept"]} == {r["candidate"] for r in rungs[i + 1]}
+        worst = max(r["score"] for r in rungs[i] if r["kept"])
+        assert all(r["score"] >= worst for r in rungs[i] if not r["kept"])
+    assert rows(report) == rows(models.halving_search(est, space, 9, df, "k", ev, eta=3, seed=2)[0])
+    assert metrics.rmse(best.transform(df), "y", "prediction").first()[0] < 0.2 or min(values) > 0
+
+
 def test_ensemble_spread(linear):
     df, *_ = linear
     made = models.bootstrap_fit(lambda w: models.pipeline(LinearRegression(labelCol="y", weightCol=w), ["a", "b", "c"]), df, "k", 4)
@@ -271,11 +293,36 @@ def test_ensemble_spread(linear):
     assert all(0 < r["sd"] < 0.2 for r in out)
 
 
+def test_softmax_rounds_against_plain_boosting(spark):
+    """Stumps on one flag: margins after three rounds by hand, and the loss falls each round."""
+    rng = np.random.default_rng(8)
+    flag = rng.integers(0, 2, 200)
+    y = np.where(flag == 1, rng.choice(3, 200, p=[0.7, 0.2, 0.1]), rng.choice(3, 200, p=[0.2, 0.3, 0.5]))
+    df = spark.createDataFrame([(int(c), [float(f)]) for c, f in zip(y, flag)], "label int, x array<double>").withColumn("features", array_to_vector("x"))
+    model = boosting.softmax_boost(df, "label", rounds=3, depth=1, rate=0.5)
+    margins, hot, losses = np.tile(np.log(np.bincount(y) / 200), (200, 1)), np.eye(3)[y], []
+    for _ in range(3):
+        p = np.exp(margins) / np.exp(margins).sum(1, keepdims=True)
+        losses.append(-np.log(p[np.arange(200), y]).mean())
+        r = hot - p
+        for f in (0, 1):
+            g = r[flag == f]
+            margins[flag == f] += 0.5 * 2 / 3 * g.sum(0) / (np.abs(g) * (1 - np.abs(g))).sum(0)
+    p = np.exp(margins) / np.exp(margins).sum(1, keepdims=True)
+    got = {r["x"][0]: r["probability"] for r in model.transform(df).collect()}
+    assert all(np.allclose(got[float(f)], p[flag == f][0]) for f in (0, 1))
+    losses.append(-np.log(p[np.arange(200), y]).mean())
+    assert losses == sorted(losses, reverse=True)
+    with pytest.raises(ValueError, match="labels"):
+        boosting.softmax_boost(df.filter("label <> 1"), "label")
+
+
 def test_multiclass_probabilities_and_storage(spark):
     rng = np.random.default_rng(3)
     pts = [(float(c), [float(v) for v in rng.normal(c * 4, 0.5, 2)]) for c in range(3) for _ in range(20)]
     df = spark.createDataFrame(pts, "label double, x array<double>").withColumn("features", array_to_vector("x"))
-    out = models.with_class_probabilities(models.gbt_multiclass(df, "label", "features", rounds=2, depth=2).transform(df)).collect()
+    model = boosting.softmax_boost(df, "label", "features", rounds=3, depth=2, rate=0.5)
+    out = model.transform(df).collect()
     assert all(sum(r["probability"]) == pytest.approx(1.0) for r in out)
     assert np.mean([r["prediction"] == r["label"] for r in out]) > 0.95
     vec = models.forest_classifier("label", ["a"], trees=3, seed=1)
