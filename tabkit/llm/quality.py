@@ -121,37 +121,24 @@ def bucket_ratios(rows: DataFrame, members, bits: int, weight: float) -> np.ndar
     """The log ratio of each bucket: its trusted occurrences to those expected at the corpus's rate, each
     with ``weight`` occurrences more, so that it rests on the bucket's own evidence.
 
-    A task's counts are sorted by bucket and sent in blocks of buckets, without the empty ones.
+    A task adds its documents up in one array of at most 32 MB and sends it in blocks, without the empty buckets.
     """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, total = [], 0
-
-        def send():
-            bucket, n, trusted = (np.concatenate(x) for x in zip(*found))
-            order = np.argsort(bucket, kind="stable")
-            bucket, head = bucket[order], np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            n, trusted = np.add.reduceat(n[order], head), np.add.reduceat(trusted[order], head)
-            bucket = bucket[head]
-            edges = np.flatnonzero(np.diff(bucket >> BLOCK, prepend=-1))
-            part = lambda x, kind: [x[i:j].astype(kind).tobytes() for i, j in zip(edges, np.append(edges[1:], len(bucket)))]     # noqa: E731
-            some = trusted > 0
-            where = [np.flatnonzero(some[i:j]).astype("<u2").tobytes() for i, j in zip(edges, np.append(edges[1:], len(bucket)))]
-            values = [x[x > 0].astype("<i4").tobytes() for x in (trusted[i:j] for i, j in zip(edges, np.append(edges[1:], len(bucket))))]
-            return pa.RecordBatch.from_arrays([pa.array((bucket[edges] >> BLOCK).astype(np.int32)), pa.array(part(bucket & ((1 << BLOCK) - 1), "<u2"), pa.binary()),
-                                               pa.array(part(n, "<i4"), pa.binary()), pa.array(where, pa.binary()), pa.array(values, pa.binary())], SENT)
-
+        sums = np.zeros((2, 1 << bits), np.int32)
         for batch in blocks(batches):
             _, hashes, doc = hashed_words(*raw(batch.column("text")))
             gram, owners = ngrams(hashes, doc, bits)
             good, _ = trusted_column(batch, members.value if members else None)
-            gram, which, n = np.unique(gram, return_inverse=True, return_counts=True)
-            found.append((gram, n, np.bincount(which, weights=good[owners], minlength=len(gram)).astype(np.int64)))
-            total += len(gram)
-            if total > 1 << 22:
-                yield send()
-                found, total = [], 0
-        if total:
-            yield send()
+            for row, some in enumerate((gram, gram[good[owners]])):
+                some, n = np.unique(some, return_counts=True)
+                sums[row, some] += n.astype(np.int32)
+        for block in range((1 << bits) + (1 << BLOCK) - 1 >> BLOCK):
+            n, trusted = sums[:, block << BLOCK:(block + 1) << BLOCK]
+            at = np.flatnonzero(n)
+            if len(at):
+                spots = np.flatnonzero(trusted[at])
+                sent = at.astype("<u2"), n[at].astype("<i4"), spots.astype("<u2"), trusted[at[spots]].astype("<i4")
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in sent)], SENT)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -229,7 +216,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, bits: int | None = Non
         rows = rows.join(good.withColumn("good", F.lit(True)), "doc_id", "left").withColumn("good", F.coalesce("good", F.lit(False)))
     if bits is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = min(MOST_BITS, max(BLOCK, (size >> 8).bit_length()))
+        bits = min(MOST_BITS, max(BLOCK, (size >> 6).bit_length()))
     ratios = spark.sparkContext.broadcast(bucket_ratios(rows, members, bits, weight))
     fence = low_fence(rows, members, ratios, quantile)
 

@@ -95,4 +95,4 @@ def test_buckets_grow_with_the_corpus(spark, monkeypatch):
     for size in (10, 3_000_000):
         docs = spark.createDataFrame([(1, "word " * (size // 5))], "doc_id long, text string")
         quality.quality_scores(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count()
-    assert seen == [quality.BLOCK, 14]
+    assert seen == [quality.BLOCK, 16]
