@@ -66,13 +66,15 @@ def n1_factor(spark, sf):
     return scored.select("doc_id", r4("prediction").alias("prediction"), "class")
 
 
-@query("n1_logit_summary", f"""
-WITH {_LABELLED}, c AS (SELECT lang, SUM(quality) AS a, SUM(1 - quality) AS b FROM l GROUP BY 1), base AS (SELECT * FROM c ORDER BY lang LIMIT 1),
+@query("n1_logit_summary", """
+WITH l AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS half, CAST(quality AS DOUBLE) AS quality FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT half, SUM(quality) AS a, SUM(1 - quality) AS b FROM l GROUP BY 1), base AS (SELECT * FROM c ORDER BY half LIMIT 1),
 t AS (SELECT '(Intercept)' AS term, ln(a / b) AS estimate, sqrt(1 / a + 1 / b) AS std_error FROM base
-  UNION ALL SELECT 'lang' || c.lang, ln(c.a / c.b) - ln(base.a / base.b), sqrt(1 / c.a + 1 / c.b + 1 / base.a + 1 / base.b) FROM c, base WHERE c.lang <> base.lang)
+  UNION ALL SELECT 'half' || c.half, ln(c.a / c.b) - ln(base.a / base.b), sqrt(1 / c.a + 1 / c.b + 1 / base.a + 1 / base.b) FROM c, base WHERE c.half <> base.half)
 SELECT term, round(estimate, 3) AS estimate, round(std_error, 3) AS std_error, round(estimate / std_error, 3) AS statistic FROM t""")
 def n1b(spark, sf):
-    model, _ = models.logit(_labelled(spark, sf), "quality", [], ["lang"])
+    df = _labelled(spark, sf).withColumn("half", F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"))
+    model, _ = models.logit(df, "quality", [], ["half"])
     return models.glm_summary(model, spark).select("term", *[r4(c, 3).alias(c) for c in ("estimate", "std_error", "statistic")])
 
 
