@@ -12,6 +12,7 @@ from tabkit.operators.forecast import additive, arx
 from tabkit.operators.joins import enrich, join_coalesce
 from tabkit.operators.order import null_safe_join, with_position
 from tabkit.operators.windows import add_lags
+from tabkit.sources.workspace import checkpointed
 
 
 def clean_holidays(df: DataFrame, kind: str = "type", transferred: str = "transferred") -> DataFrame:
@@ -78,12 +79,13 @@ def forecast_groups(train: DataFrame, test: DataFrame, keys, date: str, y: str,
         raise ValueError(f"unknown method {method!r}")
     if method == "seasonal_naive":
         return seasonal_naive(train, test, keys, date, y, season)
-    known, names = train.filter(F.col(y).isNotNull()), test.columns
+    # Both panels are read several times below, so they are computed once.
+    known, test, names = checkpointed(train.filter(F.col(y).isNotNull())), checkpointed(test), test.columns
     for side in (known, test):
         if not side.groupBy(*keys, date).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").isEmpty():
             raise ValueError("a panel has one row per key and date; aggregate it first")
     for c in categories:
-        codes = label_encoder(train.select(c).unionByName(test.select(c)), c, f"_code_{c}")
+        codes = label_encoder(known.select(c).unionByName(test.select(c)), c, f"_code_{c}")
         known, test = codes.apply(known), codes.apply(test)
         regressors.append(f"_code_{c}")
     cols = [*keys, date, *[F.col(c).cast("double").alias(c) for c in regressors]]
