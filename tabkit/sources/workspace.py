@@ -57,3 +57,33 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.join("tabkit", os.path.relpath(full, root)))
     sc.addPyFile(target)
     sc._tabkit_shipped = True
+
+
+class Scratch:
+    """Written copies of one job's frames in the shared folder, freed one by one.
+
+    ``keep`` writes a frame as compressed Parquet and goes on from the written copy, so its lineage
+    is cut. ``free`` deletes copies of this object alone. Free a copy only when every frame that
+    reads it is itself kept: a lost executor then never needs what is gone.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self._kept = spark, name, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = new_path(self.spark, self.name)
+        df.write.option("compression", "zstd").parquet(path)
+        copy = self.spark.read.schema(df.schema).parquet(path)
+        self._kept.append((copy, path))
+        return copy
+
+    def free(self, *frames: DataFrame) -> None:
+        """Delete the copies; frames that this object does not hold are left alone."""
+        rest = []
+        for copy, path in self._kept:
+            if any(copy is x for x in frames):
+                target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            else:
+                rest.append((copy, path))
+        self._kept = rest
