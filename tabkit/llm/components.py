@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabkit.sources.workspace import checkpointed
+from tabkit.llm.prefixes import may_link
+from tabkit.sources.workspace import Scratch
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -21,26 +22,31 @@ def _stars(edges: DataFrame, larger: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Every node of ``edges`` (a, b: long) with ``component``, the least node that it can reach.
 
-    Large-star and small-star steps take turns until the edges form stars; each turn is cut off
-    by a checkpoint. The number of turns grows with the logarithm of the longest path. A hot
-    node's edges meet in a join that adaptive execution may split; its least neighbour is an
-    aggregate. Loops and repeated edges change nothing; null ends are left out.
+    Large-star and small-star steps take turns until the edges form stars; each turn is written to
+    ``scratch`` and its predecessor freed, so that two copies exist at most. The number of turns grows
+    with the logarithm of the longest path. A hot node's edges meet in a join that adaptive execution
+    may split; its least neighbour is an aggregate. Loops and repeated edges change nothing; null ends
+    are left out.
     """
-    edges = checkpointed(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    edges = scratch.keep(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
                          .filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(edges)
     while before[0]:
-        edges = checkpointed(_stars(_stars(edges, True), False))
-        now = mark(edges)
+        after = scratch.keep(_stars(_stars(edges, True), False))
+        scratch.free(edges)
+        edges, now = after, mark(after)
         if now == before:
             break
         before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    labels = scratch.keep(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()))
+    scratch.free(edges)
+    return labels
 
 
 def least_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -49,14 +55,14 @@ def least_per(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def renamed(rows: DataFrame, name: str, check: str, pairs: DataFrame, members: DataFrame):
+def renamed(rows: DataFrame, name: str, check: str, pairs: DataFrame, members: DataFrame, scratch: Scratch):
     """Give a name of its own to each text where one 64-bit name stands for several.
 
     ``check`` is a second hash. Returns a function that renames a frame with both columns, and
-    ``pairs`` (a, b, votes) and ``members`` (group, c, ...) with every text of a shared name in its place.
+    ``pairs`` (a, b, votes) and ``members`` (c, ...) with every text of a shared name in its place.
     """
     seen = rows.groupBy(name).agg(F.min(check).alias("p"), F.max(check).alias("q")).filter("p <> q").select(F.col(name).alias("shared"))
-    seen = checkpointed(seen)
+    seen = scratch.keep(seen)
     if not seen.limit(1).count():
         return (lambda df: df), pairs, members
     own = lambda df: F.xxhash64(df[name], df[check])
@@ -64,7 +70,7 @@ def renamed(rows: DataFrame, name: str, check: str, pairs: DataFrame, members: D
     def rename(df):
         return df.join(seen, df[name] == seen["shared"], "left").withColumn(name, F.when(F.col("shared").isNotNull(), own(df)).otherwise(df[name])).drop("shared")
 
-    texts = checkpointed(rows.join(seen, rows[name] == seen["shared"]).select("shared", own(rows).alias("text_name")).distinct())
+    texts = scratch.keep(rows.join(seen, rows[name] == seen["shared"]).select("shared", own(rows).alias("text_name")).distinct())
 
     def replace(df, column):
         return (df.join(texts, df[column] == texts["shared"], "left").withColumn(column, F.coalesce("text_name", df[column])).drop("shared", "text_name"))
@@ -75,59 +81,64 @@ def renamed(rows: DataFrame, name: str, check: str, pairs: DataFrame, members: D
     return rename, pairs, replace(members, "c")
 
 
-def all_links(pairs: DataFrame, members: DataFrame, verify, dense: int = 20) -> tuple[DataFrame, DataFrame]:
+def all_links(pairs: DataFrame, members: DataFrame, verify, scratch: Scratch, *, percent: int = 80, dense: int = 20) -> tuple[DataFrame, DataFrame]:
     """Verified links that connect all that candidates connect, and the components' labels.
 
-    ``pairs`` (a, b, votes) are candidates; ``members`` (group, c, n, way, spare) are groups too large
-    to list in pairs, ``n`` the set size that bounds a similarity. A text may leave its groups of
-    a ``way`` if no more than ``spare`` of them hold several components: then it meets whom it must elsewhere.
-    Each text first tries its candidate with most votes. Then, until nothing is left, candidates between different components are tried:
-    all open pairs, and of groups with several components one star each while listing their pairs
-    would take more than ``dense`` rows a member, and all of them after that.
+    ``pairs`` (a, b, votes) are candidates; ``members`` (group, c, n, left, low) are groups too large to list
+    in pairs, as ``prefix_candidates`` gives them. Each text first tries its candidate with most votes. Then,
+    until nothing is left, candidates between different components are tried: all open pairs, and of groups
+    with several components one star each while listing their pairs would take more than ``dense`` rows a
+    member, and after that all pairs that sizes and places allow. What a round replaces is freed.
     """
     best = (pairs.select(F.explode(F.array(F.struct(F.col("b").alias("c"), F.col("a").alias("d"), "votes"),
                                            F.struct(F.col("a").alias("c"), F.col("b").alias("d"), "votes"))).alias("x")).select("x.*")
             .groupBy("c").agg(F.max(F.struct("votes", F.col("d").alias("d"))).alias("top"))
             .select(F.least("c", "top.d").alias("a"), F.greatest("c", "top.d").alias("b")).distinct())
-    tried = checkpointed(best)
-    links = checkpointed(verify(tried))
+    tried = scratch.keep(best)
+    links = scratch.keep(verify(tried))
     grouped = members.limit(1).count() > 0
     while True:
-        labels = components(links)
+        labels = components(links, scratch)
 
         def mark(df, c, labels=labels):
             own = labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_label"))
             return df.join(own, c, "left").withColumn(f"{c}_label", F.coalesce(f"{c}_label", c))
 
         more = mark(mark(pairs.select("a", "b"), "a"), "b").filter("a_label <> b_label").select("a", "b")
-        crowded = False
+        crowded, own = False, None
         if grouped:
-            own = mark(members, "c")
-            several = own.groupBy("group").agg(F.min("c_label").alias("p"), F.max("c_label").alias("q")).filter("p <> q").select("group")
-            own = checkpointed(own.join(several, "group"))
-            times = own.groupBy("c", "way").agg(F.count("*").alias("times"))
-            own = own.join(times, ["c", "way"]).filter("times > spare").select("group", "c", "n", "c_label").distinct()
-            apart = own.groupBy("group").agg(F.min("c_label").alias("p"), F.max("c_label").alias("q"), F.min(F.struct("c_label", "c", "n")).alias("centre"),
-                                             F.count("*").alias("size")).filter("p <> q")
-            own = checkpointed(own.join(apart.select("group", "centre", "size"), "group"))
+            marked = mark(members, "c")
+            apart = marked.groupBy("group").agg(F.min("c_label").alias("p"), F.max("c_label").alias("q"), F.min(F.struct("c_label", "c", "n", "left")).alias("centre"),
+                                                F.count("*").alias("size")).filter("p <> q")
+            own = scratch.keep(marked.join(apart.select("group", "centre", "size"), "group"))
             total = own.agg(F.count("*").alias("n"), F.sum("size").alias("pairs")).first()
             crowded = bool(total["n"]) and total["pairs"] > dense * total["n"]
+            side = lambda x: [F.col(c).alias(f"{x}{n}") for c, n in (("c", ""), ("n", "n"), ("left", "left"), ("c_label", "l"))]
             if crowded:
-                listed = own.select(F.col("centre.c").alias("x"), F.col("c").alias("y"), F.col("centre.n").alias("xn"), F.col("n").alias("yn"),
-                                    F.col("centre.c_label").alias("xl"), F.col("c_label").alias("yl"))
+                listed = own.select(*(F.col("centre")[c].alias(f"x{n}") for c, n in (("c", ""), ("n", "n"), ("left", "left"), ("c_label", "l"))), *side("y"))
             else:
-                listed = (own.select("group", F.col("c").alias("x"), F.col("n").alias("xn"), F.col("c_label").alias("xl"))
-                          .join(own.select("group", F.col("c").alias("y"), F.col("n").alias("yn"), F.col("c_label").alias("yl")), "group").filter("x < y"))
-            more = more.unionByName(listed.filter("xl <> yl AND 100 * least(xn, yn) >= 80 * greatest(xn, yn)")
+                listed = (own.select("group", F.col("low").alias("xlow"), *side("x")).join(own.select("group", F.col("low").alias("ylow"), *side("y")), "group")
+                          .filter("x < y AND NOT (xlow AND ylow)"))
+            more = more.unionByName(listed.filter(F.expr("xl <> yl") & may_link("xn", "yn", "xleft", "yleft", percent))
                                     .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-        new = checkpointed(more.distinct().join(tried, ["a", "b"], "left_anti"))
+        new = scratch.keep(more.distinct().join(tried, ["a", "b"], "left_anti"))
+        scratch.free(own)
         if not new.limit(1).count():
+            scratch.free(new)
             if not crowded:
+                scratch.free(tried)
                 return links, labels
+            scratch.free(labels)
             dense = 1 << 62                                 # the stars are exhausted: list what is left
             continue
-        found = checkpointed(verify(new))
-        links = checkpointed(links.unionByName(found))
+        scratch.free(labels)
+        found = scratch.keep(verify(new))
+        both = scratch.keep(links.unionByName(found))
+        scratch.free(links, found)
+        links = both
         if not crowded:
-            return links, components(links)
-        tried = checkpointed(tried.unionByName(new))
+            scratch.free(new, tried)
+            return links, components(links, scratch)
+        both = scratch.keep(tried.unionByName(new))
+        scratch.free(tried, new)
+        tried = both

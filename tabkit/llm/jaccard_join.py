@@ -12,8 +12,10 @@ segments than the pair may have differences. Each segment may be given an effort
 A set is sure to meet its partners if its efforts exceed the differences. All sets index every
 filled segment at effort 1. Only sets which that doesn't make sure spend effort 2, and the few
 which even that doesn't make sure index each shingle; as every such set does so, two of them
-meet. Hot segments are dropped for sets that are sure without them, the cheapest allocation,
-and kept among the others. Sets near the lower end of a band also take part in the band below.
+meet. Hot segments are dropped for sets that are sure without them, the cheapest allocation.
+Sets that are not sure without them are compared among themselves by prefixes of their shingles,
+rarest first: of two linked sets with no other segment in common, neither is sure without hot ones.
+Sets near the lower end of a band also take part in the band below.
 
 Texts with equal sets are one class. Candidates are verified on the texts. Copies need not be
 listed in pairs: each class first tries its best partner, links are merged to components, and
@@ -31,13 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.llm.components import all_links, renamed
+from tabkit.llm.prefixes import prefix_candidates
 from tabkit.llm.texts import blocks, lower_ascii, mixed, prefix_sums, raw, shingles, span_hashes, words
-from tabkit.sources.workspace import checkpointed, ship_package
+from tabkit.sources.workspace import Scratch, checkpointed, ship_package
 
 FLUSH = 2_000_000
 SMALL, SURE, LEFT_OUT, EACH = 0, 1, 2, 3                    # own band, band below, one-deletion, single shingles
 ROW = ("kind int, part int, doc_id long, k1 long, k2 long, c long, check long, n int, spare0 int, spare1 int, sigs binary, names binary, marks binary")
-FOUND = "kind int, doc_id long, k1 long, k2 long, c long, check long, n int, spare0 int, spare1 int, d long, m int, group long, way int"
+FOUND = "kind int, doc_id long, k1 long, k2 long, c long, check long, n int, spare0 int, spare1 int, d long, m int, way int"
 TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 DOCUMENT, POSTINGS, PAIR, MEMBER = 0, 1, 2, 3
 STEP = np.log(1.002)                                        # sizes travel in steps of a fifth of a percent
@@ -126,7 +129,7 @@ def packed(sig: np.ndarray) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, parts: int, hot: int, name_bits: int) -> DataFrame:
-    """Rows of FOUND: documents with their class, candidate pairs of classes, and members of hot groups.
+    """Rows of FOUND: documents with their class, candidate pairs of classes, and the number m of hot groups of a class.
 
     Postings travel in blocks: each part of the signatures gets, from about every two million
     postings of a task, one row of signatures, class names, and sizes with ways.
@@ -212,10 +215,12 @@ def candidates(docs: DataFrame, parts: int, hot: int, name_bits: int) -> DataFra
                 a, b = a[order], b[order]
                 head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[:len(a)])
                 yield rows_of(FOUND, len(head), kind=PAIR, c=a[head], d=b[head], m=np.diff(np.append(head, len(a))))
-            for k in range(0, len(many), 100_000):
-                at = many[k:k + 100_000]
-                group = mixed(sig[at] * np.uint64(parts) + np.uint64(part)).view(np.int64)
-                yield rows_of(FOUND, len(at), kind=MEMBER, c=c[at], way=(mark[at] & np.uint16(3)).astype(np.int32), group=group)
+            if len(many):
+                way = (mark[many] & np.uint16(3)).astype(np.int32)
+                order = np.lexsort((way, c[many]))
+                at, way = c[many][order], way[order]
+                head = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (way[1:] != way[:-1])]))
+                yield rows_of(FOUND, len(head), kind=MEMBER, c=at[head], way=way[head], m=np.diff(np.append(head, len(at))))
 
         part, group = None, []
         for batch in batches:
@@ -238,6 +243,17 @@ def candidates(docs: DataFrame, parts: int, hot: int, name_bits: int) -> DataFra
     return keyed.mapInArrow(emit, ROW).repartition("part").sortWithinPartitions("part").mapInArrow(meet, FOUND)
 
 
+def element_rows(texts: DataFrame) -> DataFrame:
+    """name, n and s: each shingle of the texts (c, text) with the size of its set."""
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            owner, value = shingle_sets(batch)
+            n = np.bincount(owner, minlength=batch.num_rows)
+            yield rows_of("name long, n int, s long", len(owner), name=batch.column("c").to_numpy()[owner], n=n[owner].astype(np.int32), s=value.view(np.int64))
+
+    return texts.select("c", "text").mapInArrow(explode, "name long, n int, s long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) whose texts' sets reach the threshold."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +275,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, *, hot: int = 17, dense: int = 20, name_bits: int = 64) -> DataFrame:
-    """doc_id, n_shingles, class_id, n_links of the class to others where tried, and component_id of every row.
+    """doc_id, n_shingles, class_id and component_id of every row.
 
     Two more columns tell rows apart whose ids clash: text_key, the xxhash64 of the text, and component, a
     number of the component that does not come from ids.
@@ -274,35 +290,36 @@ def jaccard_components(docs: DataFrame, *, hot: int = 17, dense: int = 20, name_
     """
     spark = docs.sparkSession
     ship_package(spark)
+    scratch = Scratch(spark, "jaccard")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = checkpointed(candidates(docs, parts, hot, name_bits))
+    found = scratch.keep(candidates(docs, parts, hot, name_bits))
     rows = found.filter(F.col("kind") == DOCUMENT).select("doc_id", "k1", "k2", "c", "check", "n", "spare0", "spare1")
     pairs = found.filter(F.col("kind") == PAIR).groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum("m").alias("votes"))
-    members = found.filter(F.col("kind") == MEMBER).select("group", "c", "way")
-    rename, pairs, members = renamed(rows.filter("n > 0"), "c", "check", pairs, members)
-    rows = rename(rows)
-    classes = rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "k1", "k2")).alias("one"), F.max("n").alias("n"),
+    members = found.filter(F.col("kind") == MEMBER).groupBy("c", "way").agg(F.sum("m").alias("times"))
+    rename, pairs, members = renamed(rows.filter("n > 0"), "c", "check", pairs, members, scratch)
+    rows, met, members = scratch.keep(rename(rows)), scratch.keep(pairs), scratch.keep(members)
+    scratch.free(found)
+    classes = rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "k1", "k2")).alias("one"),
                                                     F.max("spare0").alias("spare0"), F.max("spare1").alias("spare1"))
-    sizes = classes.select("c", "n", "spare0", "spare1")
     spare = F.when(F.col("way") == SMALL, F.col("spare0")).when(F.col("way") == SURE, F.col("spare1")).otherwise(-1)
-    heat = members.groupBy("c", "way").agg(F.count("*").alias("times")).join(sizes, "c").withColumn("spare", spare).filter("times > spare")
-    members = checkpointed(members.join(heat.select("c", "way", "n", "spare"), ["c", "way"]))
-    pairs = checkpointed(pairs)
-    asked = (pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(members.select("c"))).distinct()
-    one = classes.join(asked, "c").select("c", "one.*")
+    unsure = members.join(classes.select("c", "spare0", "spare1"), "c").filter(F.col("times") > spare).select("c").distinct()
+    asked = met.select(F.explode(F.array("a", "b")).alias("c"), F.lit(False).alias("unsure")).unionByName(unsure.select("c", F.lit(True).alias("unsure")))
+    one = classes.join(asked.groupBy("c").agg(F.max("unsure").alias("unsure")), "c").select("c", "unsure", "one.*")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").select(
         "doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
     same = [source[x].eqNullSafe(one[x]) for x in ("doc_id", "k1", "k2")]
-    texts = checkpointed(source.join(one, same).select("c", "text"))
-    links, labels = all_links(pairs, members, lambda some: verified(some, texts), dense)
-    degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
+    texts = scratch.keep(source.join(one, same).select("c", "unsure", "text"))
+    near, groups = prefix_candidates(element_rows(texts.filter("unsure")), 80, scratch)
+    pairs = scratch.keep(met.unionByName(near).groupBy("a", "b").agg(F.sum("votes").alias("votes")))
+    scratch.free(met, near, members)
+    links, labels = all_links(pairs, groups, lambda some: verified(some, texts), scratch, dense=dense)
+    scratch.free(links, pairs, groups, texts)
     classed = (classes.select("c", "least").join(labels.select(F.col("node").alias("c"), "component"), "c", "left")
-               .withColumn("component", F.coalesce("component", "c")).join(degree, "c", "left"))
+               .withColumn("component", F.coalesce("component", "c")))
     ids = classed.groupBy("component").agg(F.min("least").alias("component_id"))
-    classed = classed.join(ids, "component").select("c", "component", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classed = classed.join(ids, "component").select("c", "component", "component_id")
     out = rows.select("doc_id", F.col("k1").alias("text_key"), "n", "c").join(classed, "c", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("c")).alias("class_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
                       "text_key", F.when(F.col("n") > 0, F.col("component")).alias("component"))
 
