@@ -43,6 +43,7 @@ ROW = ("kind int, part int, doc_id long, k1 long, k2 long, c long, check long, n
 FOUND = "kind int, doc_id long, k1 long, k2 long, c long, check long, n int, spare0 int, spare1 int, d long, m int, way int"
 TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
 DOCUMENT, POSTINGS, PAIR, MEMBER = 0, 1, 2, 3
+WORDS = 32                                                  # 64-bit words of a set's parities
 STEP = np.log(1.002)                                        # sizes travel in steps of a fifth of a percent
 
 
@@ -254,8 +255,32 @@ def element_rows(texts: DataFrame) -> DataFrame:
     return texts.select("c", "text").mapInArrow(explode, "name long, n int, s long")
 
 
+def with_parities(texts: DataFrame) -> DataFrame:
+    """``texts`` (c, unsure, text) with n, the size of the shingle set, and odd: per cell of 2,048 whether an odd number of shingles falls there.
+
+    Two sets differ in at least as many shingles as their parities differ in cells.
+    """
+    schema = "c long, unsure boolean, n int, odd array<bigint>, text string"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            owner, value = shingle_sets(batch)
+            cell = mixed(value + np.uint64(0x0DD)) % np.uint64(64 * WORDS)
+            odd = np.zeros(batch.num_rows * WORDS, np.uint64)
+            np.bitwise_xor.at(odd, owner * WORDS + (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+            odd = pa.ListArray.from_arrays(np.arange(0, len(odd) + 1, WORDS, dtype=np.int32), pa.array(odd.view(np.int64)))
+            n = pa.array(np.bincount(owner, minlength=batch.num_rows).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("unsure"), n, odd, batch.column("text")], ["c", "unsure", "n", "odd", "text"])
+
+    return texts.select("c", "unsure", "text").mapInArrow(count, schema)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose texts' sets reach the threshold."""
+    """Pairs (a, b) whose texts' sets reach the threshold.
+
+    Linked sets differ in at most a ninth of their summed sizes; pairs whose parities alone differ in more
+    never fetch their texts.
+    """
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(blocks(batches, "x"), "y"):
             sets = []
@@ -270,8 +295,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             linked = 100 * common >= 80 * (sets[0][2] + sets[1][2] - common)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
+    left, right = (texts.select(F.col("c").alias(c), F.col("n").alias(f"{c}n"), F.col("odd").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
+    near = (pairs.select("a", "b").join(left, "a").join(right, "b").filter("100 * least(an, bn) >= 80 * greatest(an, bn)")
+            .filter(9 * apart <= F.col("an") + F.col("bn")))
     left, right = (texts.select(F.col("c").alias(c), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return near.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, *, hot: int = 17, dense: int = 20, name_bits: int = 64) -> DataFrame:
@@ -308,7 +337,7 @@ def jaccard_components(docs: DataFrame, *, hot: int = 17, dense: int = 20, name_
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").select(
         "doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
     same = [source[x].eqNullSafe(one[x]) for x in ("doc_id", "k1", "k2")]
-    texts = scratch.keep(source.join(one, same).select("c", "unsure", "text"))
+    texts = scratch.keep(with_parities(source.join(one, same)))
     near, groups = prefix_candidates(element_rows(texts.filter("unsure")), 80, scratch)
     pairs = scratch.keep(met.unionByName(near).groupBy("a", "b").agg(F.sum("votes").alias("votes")))
     scratch.free(met, near, members)
