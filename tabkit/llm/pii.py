@@ -1,10 +1,11 @@
 """Personal data: known forms, and candidates chosen by boosted trees.
 
 Generators with high recall propose spans that may overlap: loose and spelled-out addresses, and
-groups of digits. Boosted trees learn from the candidates of a bounded sample which of them carry
-a known form, by format and context (the characters around). Their scores are calibrated on held
-out candidates, and the least threshold of the wanted precision selects further redactions
-among candidates that no known form covers. Known forms always stay.
+groups of digits. Boosted trees learn from all candidates which of them carry a known form, by
+format and context (the characters around); candidates alike in all features are one example with
+their number as its weight. Their scores are calibrated on held out candidates, and the least
+threshold of the wanted precision selects further redactions among candidates that no known form
+covers. Known forms always stay.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ DIGITS = r"\+?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+"
 KINDS = ("email", "ip", "card", "phone", "other")
 CUES = r"(?i)(?:phone|tel|call|fax|mobile|mail|contact|address|card|visa|account|ip|server|host)[^A-Za-z]*$"
 AROUND = 24
+#: Counts above this are alike. Up to the square of ``BINS`` examples, trees may split between any two values.
+MOST_COUNT, BINS = 64, 1024
 FEATURES = ("digits", "size", "breaks", "plus", "at", "spelled", "dots", "octets", "luhn", "leading_zero", "letter_before", "letter_after",
             "mark_before", "mark_after", "cue")
 
@@ -68,29 +71,36 @@ def with_context(spans: Column, text: Column) -> Column:
 def features(rows: DataFrame) -> DataFrame:
     m, flag = F.col("match"), lambda c: F.when(c, 1.0).otherwise(0.0)
     dotted = m.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$")
+    count = lambda part: F.least(F.length(part), F.lit(MOST_COUNT)).cast("double")
     return rows.withColumns({
-        "digits": F.length(digits_of(m)).cast("double"), "size": F.length(m).cast("double"),
-        "breaks": F.length(F.regexp_replace(m, "[^ ().-]", "")).cast("double"), "plus": flag(m.startswith("+")), "at": flag(m.contains("@")),
-        "spelled": flag(m.rlike(r"\((?:at|dot)\)|\[(?:at|dot)\]")), "dots": F.length(F.regexp_replace(m, "[^.]", "")).cast("double"),
+        "digits": count(digits_of(m)), "size": count(m),
+        "breaks": count(F.regexp_replace(m, "[^ ().-]", "")), "plus": flag(m.startswith("+")), "at": flag(m.contains("@")),
+        "spelled": flag(m.rlike(r"\((?:at|dot)\)|\[(?:at|dot)\]")), "dots": count(F.regexp_replace(m, "[^.]", "")),
         "octets": flag(dotted & octets(m)), "luhn": flag(luhn(m)), "leading_zero": flag(m.startswith("0")),
         "letter_before": flag(F.col("before").rlike("[A-Za-z0-9_]$")), "letter_after": flag(F.col("after").rlike("^[A-Za-z0-9_]")),
         "mark_before": flag(F.col("before").rlike("[^\\sA-Za-z0-9]$")), "mark_after": flag(F.col("after").rlike("^[^\\sA-Za-z0-9]")),
         "cue": flag(F.col("before").rlike(CUES))})
 
 
-def chosen(candidates: DataFrame, sample: int, precision: float) -> DataFrame | None:
+def examples(candidates: DataFrame) -> DataFrame:
+    """held, label, features and the number n of all candidates alike in them; a text's candidates are held out together."""
+    rows = candidates.filter("known IS NOT NULL").select(
+        "match", "before", "after", F.col("known").cast("double").alias("label"), (F.pmod(F.xxhash64(F.lit(3), "k1", "k2"), F.lit(4)) == 0).alias("held"))
+    return features(rows).groupBy("held", "label", *FEATURES).agg(F.count("*").cast("double").alias("n"))
+
+
+def chosen(candidates: DataFrame, precision: float) -> DataFrame | None:
     """Uncovered candidates whose calibrated score passes; None if there is nothing to learn from."""
-    hashed = F.xxhash64("k1", "k2", "start", "end")
-    rows = features(candidates.filter("known IS NOT NULL").withColumn("label", F.col("known").cast("double")))
-    taken = checkpointed(rows.orderBy(hashed, "k1", "start").limit(sample).withColumn("held", F.pmod(F.xxhash64(F.lit(3), "k1", "k2"), F.lit(4)) == 0))
-    classes = {(r["held"], r["label"]): r["n"] for r in taken.groupBy("held", "label").agg(F.count("*").alias("n")).collect()}
+    seen = checkpointed(examples(candidates).orderBy("held", "label", *FEATURES))
+    classes = {(r["held"], r["label"]) for r in seen.select("held", "label").distinct().collect()}
     if len(classes) < 4:
         return None
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="vector")
-    model = GBTClassifier(featuresCol="vector", maxIter=12, maxDepth=4, seed=1).fit(assemble.transform(taken.filter("NOT held")).select("vector", "label"))
+    model = GBTClassifier(featuresCol="vector", weightCol="n", maxIter=12, maxDepth=4, maxBins=BINS, seed=1).fit(
+        assemble.transform(seen.filter("NOT held")).select("vector", "label", "n"))
     scored = lambda df: model.transform(assemble.transform(df)).withColumn("score", F.round(vector_to_array("probability")[1], 2))
-    steps = sorted(((r["score"], r["yes"], r["n"]) for r in scored(taken.filter("held")).groupBy("score").agg(
-        F.sum("label").alias("yes"), F.count("*").alias("n")).collect()), reverse=True)        # at most 101 scores
+    steps = sorted(((r["score"], r["yes"], r["n"]) for r in scored(seen.filter("held")).groupBy("score").agg(
+        F.sum(F.col("label") * F.col("n")).alias("yes"), F.sum("n").alias("n")).collect()), reverse=True)        # at most 101 scores
     threshold, yes, n = None, 0, 0
     for score, y, k in steps:
         yes, n = yes + y, n + k
@@ -101,7 +111,7 @@ def chosen(candidates: DataFrame, sample: int, precision: float) -> DataFrame |
     return scored(features(candidates.filter("NOT known"))).filter(F.col("score") >= max(threshold, 0.5))
 
 
-def personal_spans(docs: DataFrame, *, sample: int = 20_000, precision: float = 0.98) -> DataFrame:
+def personal_spans(docs: DataFrame, *, precision: float = 0.98) -> DataFrame:
     """doc_id, counts of the known forms, base_sha256 and all spans of every row of ``docs``.
 
     Spans count code points. A null text is an empty one: no spans. Repeated rows each get their
@@ -119,7 +129,7 @@ def personal_spans(docs: DataFrame, *, sample: int = 20_000, precision: float =
                   .select("k1", "k2", F.explode(F.transform("maybe", lambda s: F.struct(
                       s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"), s["before"].alias("before"), s["after"].alias("after"),
                       overlapping(known, s["start"], s["end"]).alias("known")))).alias("s")).select("k1", "k2", "s.*").distinct())
-    picked = chosen(candidates, sample, precision)
+    picked = chosen(candidates, precision)
     if picked is None:
         joined = found.withColumn("other", none)
     else:

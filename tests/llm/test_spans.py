@@ -97,3 +97,16 @@ def test_added_spans(spark):
             assert k != "other" or not any(a < y and b > x for x, y, _ in base)
 
 
+
+
+def test_trees_learn_from_every_candidate(spark):
+    """Known forms that stand last in hash order among 60,000 candidates are learnt from and select a span like them."""
+    rest = spark.range(60_000).selectExpr("id AS k1", "id AS k2", "0 AS start", "10 AS end", "concat('(', id + 10000000, ')') AS match", "'so ' AS before", "' ' AS after", "false AS known")
+    seen = (spark.range(60_000, 61_000).selectExpr("id AS k1", "id AS k2", "0 AS start", "19 AS end", "'4111 1111 1111 1111' AS match", "'card ' AS before", "' ' AS after", "true AS known")
+            .filter("xxhash64(k1, k2, start, end) > 0"))
+    alike = seen.limit(1).selectExpr("-1L AS k1", "-1L AS k2", "start", "end", "match", "before", "after", "false AS known")
+    candidates = rest.unionByName(seen).unionByName(alike).repartition(4)
+    picked = pii.chosen(candidates, precision=0.98)
+    assert [(r["k1"], r["match"]) for r in picked.collect()] == [(-1, "4111 1111 1111 1111")]
+    n = {(r["label"], r["n"]) for r in pii.examples(candidates).groupBy("label").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    assert n == {(0.0, 60_001.0), (1.0, float(seen.count()))}
