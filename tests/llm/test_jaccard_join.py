@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tabkit.llm import jaccard_join
 from tabkit.llm.components import components
+from tabkit.llm.prefixes import prefix_candidates
+from tabkit.sources.workspace import Scratch
 
 
 def shingle_set(text):
@@ -133,3 +136,13 @@ def test_rows_with_clashing_ids_stay(spark):
     want = [(1, a, "x"), (None, b + " end", "x"), (1, c, "x"), (8, None, "x"), (8, None, "x"), (9, "", "x"), (2, "just three words", "x")]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert jaccard_join.without_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_prefixes_of_long_sets(spark):
+    """Elements of long sets are made distinct by hashing, not by comparing all with all; repeated rows change nothing."""
+    sets = spark.range(2).selectExpr("id AS name", "explode(sequence(1L, 60000L)) AS s").selectExpr("name", "60000 AS n", "s")
+    began = time.time()
+    for some in (sets, sets.unionByName(sets)):
+        pairs, _ = prefix_candidates(some, 80, Scratch(spark, "long"))
+        assert [(r["a"], r["b"]) for r in pairs.collect()] == [(0, 1)]
+    assert time.time() - began < 60

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tabkit.llm import quality
+from tabkit.llm import quality, texts
 from tabkit.llm.texts import raw
 
 
@@ -96,3 +97,19 @@ def test_buckets_grow_with_the_corpus(spark, monkeypatch):
         docs = spark.createDataFrame([(1, "word " * (size // 5))], "doc_id long, text string")
         quality.quality_scores(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count()
     assert seen == [quality.BLOCK, 16]
+
+
+def test_memory_of_a_block(monkeypatch):
+    """A task's arrays stay small beside its share of an executor, however large a batch is."""
+    monkeypatch.setattr(texts, "_powers", [])
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{i}x{j}" for j in range(400)) for i in range(4000)])], ["text"])
+    ratios = np.zeros(1 << 12, np.float32)
+    tracemalloc.start()
+    for block in texts.blocks([batch]):
+        data, offsets = raw(block.column("text"))
+        sums, hashes, doc = quality.hashed_words(data, offsets)
+        quality.text_counts(data, offsets, sums, (hashes, doc))
+        quality.text_scores(hashes, doc, block.num_rows, ratios)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
