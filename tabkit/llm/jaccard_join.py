@@ -321,7 +321,7 @@ def jaccard_components(docs: DataFrame, *, hot: int = 17, dense: int = 20, name_
     ship_package(spark)
     scratch = Scratch(spark, "jaccard")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = scratch.keep(candidates(docs, parts, hot, name_bits))
+    found = scratch.keep(candidates(docs, parts, hot, name_bits), heavy=True)
     rows = found.filter(F.col("kind") == DOCUMENT).select("doc_id", "k1", "k2", "c", "check", "n", "spare0", "spare1")
     pairs = found.filter(F.col("kind") == PAIR).groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum("m").alias("votes"))
     members = found.filter(F.col("kind") == MEMBER).groupBy("c", "way").agg(F.sum("m").alias("times"))
@@ -337,7 +337,7 @@ def jaccard_components(docs: DataFrame, *, hot: int = 17, dense: int = 20, name_
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").select(
         "doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
     same = [source[x].eqNullSafe(one[x]) for x in ("doc_id", "k1", "k2")]
-    texts = scratch.keep(with_parities(source.join(one, same)))
+    texts = scratch.keep(with_parities(source.join(one, same)), heavy=True)
     near, groups = prefix_candidates(element_rows(texts.filter("unsure")), 80, scratch)
     pairs = scratch.keep(met.unionByName(near).groupBy("a", "b").agg(F.sum("votes").alias("votes")))
     scratch.free(met, near, members)

@@ -1,6 +1,7 @@
 """Written copies and their end."""
 
 import os
+import time
 from urllib.parse import urlparse
 
 from tabkit.sources.workspace import Scratch
@@ -24,3 +25,19 @@ def test_copies_are_freed_one_by_one(spark):
 def test_empty_frame_keeps_its_schema(spark):
     empty = Scratch(spark, "empty").keep(spark.createDataFrame([], "a long, b array<string>"))
     assert empty.count() == 0 and empty.schema.simpleString() == "struct<a:bigint,b:array<string>>"
+
+
+def test_shuffle_files_of_a_heavy_frame_go(spark):
+    """What a written frame shuffled leaves the disk once its copy stands, without waiting for the driver's own collection."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: sum(os.path.getsize(f) for top, _, names in os.walk(str(manager.localDirs()[0].getPath()))
+                       for f in (os.path.join(top, x) for x in names if x.startswith("shuffle_")))
+    scratch = Scratch(spark, "heavy")
+    for heavy in (False, True):
+        before = held()
+        kept = scratch.keep(spark.range(400_000).selectExpr("id", "uuid() AS u").repartition(5, "u"), heavy=heavy)
+        began = time.time()
+        while heavy and held() > before and time.time() < began + 20:
+            time.sleep(0.2)
+        assert (held() > before + (1 << 20)) != heavy
+        assert kept.count() == 400_000
