@@ -39,11 +39,12 @@ from tabkit.sources.workspace import Scratch, checkpointed, ship_package
 
 FLUSH = 2_000_000
 SMALL, SURE, LEFT_OUT, EACH = 0, 1, 2, 3                    # own band, band below, one-deletion, single shingles
-ROW = ("kind int, part int, doc_id long, k1 long, k2 long, c long, check long, n int, spare0 int, spare1 int, sigs binary, names binary, marks binary")
-FOUND = "kind int, doc_id long, k1 long, k2 long, c long, check long, n int, spare0 int, spare1 int, d long, m int, way int"
-TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+ROW = ("kind int, part int, doc_id long, k1 long, k2 long, c long, check long, n int, spare0 int, spare1 int, odd array<bigint>, "
+       "sigs binary, names binary, marks binary")
+FOUND = "kind int, doc_id long, k1 long, k2 long, c long, check long, n int, spare0 int, spare1 int, odd array<bigint>, d long, m int, way int"
+TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 DOCUMENT, POSTINGS, PAIR, MEMBER = 0, 1, 2, 3
-WORDS = 32                                                  # 64-bit words of a set's parities
+WORDS = 16                                                  # 64-bit words of a set's parities
 STEP = np.log(1.002)                                        # sizes travel in steps of a fifth of a percent
 
 
@@ -129,6 +130,17 @@ def packed(sig: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
 
 
+def parities(owner: np.ndarray, value: np.ndarray, documents: int) -> pa.Array:
+    """Of each set, per cell of 1,024 whether an odd number of shingles falls there.
+
+    Two sets differ in at least as many shingles as their parities differ in cells.
+    """
+    cell = mixed(value + np.uint64(0x0DD)) % np.uint64(64 * WORDS)
+    odd = np.zeros(documents * WORDS, np.uint64)
+    np.bitwise_xor.at(odd, owner * WORDS + (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    return pa.ListArray.from_arrays(np.arange(0, len(odd) + 1, WORDS, dtype=np.int32), pa.array(odd.view(np.int64)))
+
+
 def candidates(docs: DataFrame, parts: int, hot: int, name_bits: int) -> DataFrame:
     """Rows of FOUND: documents with their class, candidate pairs of classes, and the number m of hot groups of a class.
 
@@ -159,7 +171,8 @@ def candidates(docs: DataFrame, parts: int, hot: int, name_bits: int) -> DataFra
             c = (c if name_bits == 64 else c >> np.uint64(64 - name_bits)).view(np.int64)
             doc, way, sig, spare = postings(owner, value, n)
             yield rows_of(ROW, batch.num_rows, kind=DOCUMENT, part=np.arange(batch.num_rows) % parts, doc_id=batch.column("doc_id"), k1=batch.column("k1"),
-                          k2=batch.column("k2"), c=c, check=check.view(np.int64), n=n, spare0=spare[:, SMALL], spare1=spare[:, SURE])
+                          k2=batch.column("k2"), c=c, check=check.view(np.int64), n=n, spare0=spare[:, SMALL], spare1=spare[:, SURE],
+                          odd=parities(owner, value, batch.num_rows))
             mark = np.minimum(np.log(np.maximum(n[doc], 1)) / STEP, 16383).astype(np.uint16) << np.uint16(2) | way.astype(np.uint16)
             held.append((sig, c[doc], mark))
             count += len(sig)
@@ -228,7 +241,7 @@ def candidates(docs: DataFrame, parts: int, hot: int, name_bits: int) -> DataFra
             kind = batch.column("kind").to_numpy()
             own = batch.filter(pa.array(kind == DOCUMENT))
             if own.num_rows:
-                yield rows_of(FOUND, own.num_rows, kind=DOCUMENT, **{x: own.column(x) for x in ("doc_id", "k1", "k2", "c", "check", "n", "spare0", "spare1")})
+                yield rows_of(FOUND, own.num_rows, kind=DOCUMENT, **{x: own.column(x) for x in ("doc_id", "k1", "k2", "c", "check", "n", "spare0", "spare1", "odd")})
             rest = batch.filter(pa.array(kind == POSTINGS)).select(["part", "sigs", "names", "marks"]).to_pydict()
             for p, *blobs in zip(*(rest[x] for x in ("part", "sigs", "names", "marks"))):
                 if p != part and group:
@@ -255,32 +268,20 @@ def element_rows(texts: DataFrame) -> DataFrame:
     return texts.select("c", "text").mapInArrow(explode, "name long, n int, s long")
 
 
-def with_parities(texts: DataFrame) -> DataFrame:
-    """``texts`` (c, unsure, text) with n, the size of the shingle set, and odd: per cell of 2,048 whether an odd number of shingles falls there.
+def promising(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of ``pairs`` (a, b, ...) whose sizes and parities allow a link.
 
-    Two sets differ in at least as many shingles as their parities differ in cells.
+    Linked sets differ in at most a ninth of their summed sizes; pairs whose parities alone differ in more
+    never fetch their texts. ``marks`` has c, n (the size of the set) and odd (its parities).
     """
-    schema = "c long, unsure boolean, n int, odd array<bigint>, text string"
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            owner, value = shingle_sets(batch)
-            cell = mixed(value + np.uint64(0x0DD)) % np.uint64(64 * WORDS)
-            odd = np.zeros(batch.num_rows * WORDS, np.uint64)
-            np.bitwise_xor.at(odd, owner * WORDS + (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
-            odd = pa.ListArray.from_arrays(np.arange(0, len(odd) + 1, WORDS, dtype=np.int32), pa.array(odd.view(np.int64)))
-            n = pa.array(np.bincount(owner, minlength=batch.num_rows).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("unsure"), n, odd, batch.column("text")], ["c", "unsure", "n", "odd", "text"])
-
-    return texts.select("c", "unsure", "text").mapInArrow(count, schema)
+    left, right = (marks.select(F.col("c").alias(c), F.col("n").alias(f"{c}n"), F.col("odd").alias(x)) for c, x in (("a", "x"), ("b", "y")))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
+    return (pairs.join(left, "a").join(right, "b").filter("100 * least(an, bn) >= 80 * greatest(an, bn)")
+            .filter(9 * apart <= F.col("an") + F.col("bn")).select(*pairs.columns))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose texts' sets reach the threshold.
-
-    Linked sets differ in at most a ninth of their summed sizes; pairs whose parities alone differ in more
-    never fetch their texts.
-    """
+    """Pairs (a, b) whose texts' sets reach the threshold."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(blocks(batches, "x"), "y"):
             sets = []
@@ -295,12 +296,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             linked = 100 * common >= 80 * (sets[0][2] + sets[1][2] - common)
             yield batch.select(["a", "b"]).filter(pa.array(linked))
 
-    left, right = (texts.select(F.col("c").alias(c), F.col("n").alias(f"{c}n"), F.col("odd").alias(x)) for c, x in (("a", "x"), ("b", "y")))
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
-    near = (pairs.select("a", "b").join(left, "a").join(right, "b").filter("100 * least(an, bn) >= 80 * greatest(an, bn)")
-            .filter(9 * apart <= F.col("an") + F.col("bn")))
     left, right = (texts.select(F.col("c").alias(c), F.col("text").alias(t)) for c, t in (("a", "x"), ("b", "y")))
-    return near.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, *, hot: int = 17, dense: int = 20, name_bits: int = 64) -> DataFrame:
@@ -322,26 +319,33 @@ def jaccard_components(docs: DataFrame, *, hot: int = 17, dense: int = 20, name_
     scratch = Scratch(spark, "jaccard")
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = scratch.keep(candidates(docs, parts, hot, name_bits), heavy=True)
-    rows = found.filter(F.col("kind") == DOCUMENT).select("doc_id", "k1", "k2", "c", "check", "n", "spare0", "spare1")
+    rows = found.filter(F.col("kind") == DOCUMENT).select("doc_id", "k1", "k2", "c", "check", "n", "spare0", "spare1", "odd")
     pairs = found.filter(F.col("kind") == PAIR).groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum("m").alias("votes"))
     members = found.filter(F.col("kind") == MEMBER).groupBy("c", "way").agg(F.sum("m").alias("times"))
-    rename, pairs, members = renamed(rows.filter("n > 0"), "c", "check", pairs, members, scratch)
-    rows, met, members = scratch.keep(rename(rows)), scratch.keep(pairs), scratch.keep(members)
-    scratch.free(found)
+    rename, pairs, members = renamed(rows.filter("n > 0").drop("odd"), "c", "check", pairs, members, scratch)
+    marked = rename(rows)
+    rows, met, members = scratch.keep(marked.drop("odd")), scratch.keep(pairs), scratch.keep(members)
     classes = rows.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "k1", "k2")).alias("one"),
                                                     F.max("spare0").alias("spare0"), F.max("spare1").alias("spare1"))
     spare = F.when(F.col("way") == SMALL, F.col("spare0")).when(F.col("way") == SURE, F.col("spare1")).otherwise(-1)
-    unsure = members.join(classes.select("c", "spare0", "spare1"), "c").filter(F.col("times") > spare).select("c").distinct()
-    asked = met.select(F.explode(F.array("a", "b")).alias("c"), F.lit(False).alias("unsure")).unionByName(unsure.select("c", F.lit(True).alias("unsure")))
+    unsure = scratch.keep(members.join(classes.select("c", "spare0", "spare1"), "c").filter(F.col("times") > spare).select("c").distinct())
+    both = lambda df: df.select(F.explode(F.array("a", "b")).alias("c"))
+    asked = both(met).unionByName(unsure).distinct()
+    marks = scratch.keep(marked.filter("n > 0").join(asked, "c").groupBy("c").agg(F.first("n").alias("n"), F.first("odd").alias("odd")), heavy=True)
+    scratch.free(found, members)
+    listed = scratch.keep(promising(met, marks), heavy=True)
+    scratch.free(met)
+    asked = both(listed).select("c", F.lit(False).alias("unsure")).unionByName(unsure.select("c", F.lit(True).alias("unsure")))
     one = classes.join(asked.groupBy("c").agg(F.max("unsure").alias("unsure")), "c").select("c", "unsure", "one.*")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text IS NOT NULL").select(
         "doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
     same = [source[x].eqNullSafe(one[x]) for x in ("doc_id", "k1", "k2")]
-    texts = scratch.keep(with_parities(source.join(one, same)), heavy=True)
+    texts = scratch.keep(source.join(one, same).select("c", "unsure", "text"), heavy=True)
     near, groups = prefix_candidates(element_rows(texts.filter("unsure")), 80, scratch)
-    pairs = scratch.keep(met.unionByName(near).groupBy("a", "b").agg(F.sum("votes").alias("votes")))
-    scratch.free(met, near, members)
-    links, labels = all_links(pairs, groups, lambda some: verified(some, texts), scratch, dense=dense)
+    pairs = scratch.keep(listed.unionByName(promising(near, marks)).groupBy("a", "b").agg(F.sum("votes").alias("votes")))
+    scratch.free(listed, near, unsure)
+    links, labels = all_links(pairs, groups, lambda some: verified(promising(some, marks), texts), scratch, dense=dense)
+    scratch.free(marks)
     scratch.free(links, pairs, groups, texts)
     classed = (classes.select("c", "least").join(labels.select(F.col("node").alias("c"), "component"), "c", "left")
                .withColumn("component", F.coalesce("component", "c")))

@@ -146,3 +146,16 @@ def test_prefixes_of_long_sets(spark):
         pairs, _ = prefix_candidates(some, 80, Scratch(spark, "long"))
         assert [(r["a"], r["b"]) for r in pairs.collect()] == [(0, 1)]
     assert time.time() - began < 60
+
+
+def test_only_promising_pairs_fetch_texts(spark, monkeypatch):
+    """Texts whose every candidate differs in too many parities are never fetched."""
+    random.seed(31)
+    fresh = lambda n: [f"t{random.randrange(10**6)}" for _ in range(n)]
+    passage, base = fresh(60), fresh(100)
+    rows = [(i, " ".join(passage + fresh(60))) for i in range(12)] + [(20, " ".join(base)), (21, " ".join(base[:-2]))]
+    held = []
+    real = jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda some, texts: held.append(texts.count()) or real(some, texts))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+    assert set(held) == {2}
