@@ -44,7 +44,7 @@ ROW = ("kind int, part int, doc_id long, k1 long, k2 long, c long, check long, n
 FOUND = "kind int, doc_id long, k1 long, k2 long, c long, check long, n int, spare0 int, spare1 int, odd array<bigint>, d long, m int, way int"
 TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
 DOCUMENT, POSTINGS, PAIR, MEMBER = 0, 1, 2, 3
-WORDS = 16                                                  # 64-bit words of a set's parities
+WORDS = 16                                                  # 64-bit words of a small set's parities
 STEP = np.log(1.002)                                        # sizes travel in steps of a fifth of a percent
 
 
@@ -131,14 +131,18 @@ def packed(sig: np.ndarray) -> np.ndarray:
 
 
 def parities(owner: np.ndarray, value: np.ndarray, documents: int) -> pa.Array:
-    """Of each set, per cell of 1,024 whether an odd number of shingles falls there.
+    """Of each set, per cell whether an odd number of shingles falls there: four cells or more a shingle, at least 1,024.
 
-    Two sets differ in at least as many shingles as their parities differ in cells.
+    Two sets differ in at least as many shingles as their parities differ in cells. The number of cells is
+    a power of two, so that the halves of twice as many fold into one.
     """
-    cell = mixed(value + np.uint64(0x0DD)) % np.uint64(64 * WORDS)
-    odd = np.zeros(documents * WORDS, np.uint64)
-    np.bitwise_xor.at(odd, owner * WORDS + (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
-    return pa.ListArray.from_arrays(np.arange(0, len(odd) + 1, WORDS, dtype=np.int32), pa.array(odd.view(np.int64)))
+    n = np.bincount(owner, minlength=documents)
+    size = WORDS * 2 ** np.ceil(np.log2(np.maximum(n / (16 * WORDS), 1))).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
+    cell = mixed(value + np.uint64(0x0DD)) & (64 * size[owner] - 1).astype(np.uint64)
+    odd = np.zeros(at[-1], np.uint64)
+    np.bitwise_xor.at(odd, at[owner] + (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(odd.view(np.int64)))
 
 
 def candidates(docs: DataFrame, parts: int, hot: int, name_bits: int) -> DataFrame:
@@ -275,7 +279,13 @@ def promising(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     never fetch their texts. ``marks`` has c, n (the size of the set) and odd (its parities).
     """
     left, right = (marks.select(F.col("c").alias(c), F.col("n").alias(f"{c}n"), F.col("odd").alias(x)) for c, x in (("a", "x"), ("b", "y")))
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
+    words = F.least(F.size("x"), F.size("y"))               # sizes that allow a link differ by one step at most
+
+    def folded(odd: str):
+        halves = F.zip_with(F.slice(odd, F.lit(1), words), F.slice(odd, words + 1, words), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(odd) > words, halves).otherwise(F.col(odd))
+
+    apart = F.aggregate(F.zip_with(folded("x"), folded("y"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, k: total + k)
     return (pairs.join(left, "a").join(right, "b").filter("100 * least(an, bn) >= 80 * greatest(an, bn)")
             .filter(9 * apart <= F.col("an") + F.col("bn")).select(*pairs.columns))
 

@@ -159,3 +159,19 @@ def test_only_promising_pairs_fetch_texts(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "verified", lambda some, texts: held.append(texts.count()) or real(some, texts))
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
     assert set(held) == {2}
+
+
+def test_parities_tell_long_sets_apart(spark):
+    """Linked sets pass whatever their sizes, long sets with little in common do not."""
+    rng = np.random.default_rng(6)
+    sets, linked, apart = [], [], []
+    for n in (3, 250, 290, 1100, 5000, 9000):
+        a, far = (np.sort(rng.integers(1 << 62, size=n).astype(np.uint64)) for _ in range(2))
+        near = np.concatenate([a, rng.integers(1 << 62, size=n // 5).astype(np.uint64)])
+        linked.append((len(sets), len(sets) + 1, 1))
+        apart.append((len(sets), len(sets) + 2, 1))
+        sets += [a, near, far]
+    odd = jaccard_join.parities(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), len(sets)).to_pylist()
+    marks = spark.createDataFrame([(i, len(x), o) for i, (x, o) in enumerate(zip(sets, odd))], "c long, n int, odd array<bigint>")
+    pairs = spark.createDataFrame(linked + apart, "a long, b long, votes long")
+    assert sorted((r["a"], r["b"], r["votes"]) for r in jaccard_join.promising(pairs, marks).collect()) == linked
