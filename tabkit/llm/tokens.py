@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,11 +23,14 @@ from tabkit.llm.texts import blocks, raw
 from tabkit.sources.workspace import ship_package
 
 PIECE = 1 << 14
+KEPT = 1 << 20                                              # pieces whose ids an encoder keeps
 _loaded: dict[int, tuple] = {}
 
 
 class Encoder:
-    """The tokenizers library over columns of text, each distinct word of a block encoded once.
+    """The tokenizers library over columns of text, each distinct word encoded once.
+
+    Words of earlier blocks keep their ids, up to ``KEPT`` of them; then a new set begins.
 
     Text is cut before a space or line feed that follows a printable character. The byte-level
     pattern always begins a new pre-token there, so pieces encode as they do within the text.
@@ -56,6 +60,10 @@ class Encoder:
             _loaded[key] = tokenizer, sizes
         self.tokenizer, self.sizes = _loaded[key]
         self.split = self.sizes is not None if split is None else split
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.ids, self.starts = pa.array([], pa.string()), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column, and how many each text has."""
@@ -75,14 +83,29 @@ class Encoder:
         at = np.flatnonzero(cut)
         pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(data))
         coded = pieces.dictionary_encode()
-        ids, starts = self._distinct(coded.dictionary)
-        which = coded.indices.to_numpy()
+        ids, starts, place = self._looked_up(coded.dictionary)
+        which = place[coded.indices.to_numpy()]
         counts = np.diff(starts)[which]
         ends = np.cumsum(counts)
         take = np.arange(ends[-1]) + np.repeat(starts[which] - ends + counts, counts)
         until = np.concatenate([np.zeros(1, np.int64), ends])[np.searchsorted(at, offsets)]
         return ids[take], np.diff(until)
 
+    def _looked_up(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all known pieces, where each piece's begin, and which of them the given ones are."""
+        if len(self.known) > KEPT:
+            self._forget()
+        place = pc.index_in(pieces, value_set=self.known)
+        new = pieces.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[place < 0] = len(self.known) + np.arange(len(new))
+        if len(new):
+            ids, starts = self._distinct(new)
+            self.starts = np.concatenate([self.starts, starts[1:] + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.known = pa.concat_arrays([self.known, new])
+        return self.ids, self.starts, place
+
     def _distinct(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each piece one after another, and where each piece's begin.
 

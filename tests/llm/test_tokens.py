@@ -118,3 +118,20 @@ def test_two_fit_beats_greedy():
     plan = packing.best_two_fit(np.bincount([6, 3, 2, 2], minlength=11), 10)
     sequence, _ = plan.place(np.array([6, 2, 2]), np.array([0, 0, 1]))
     assert len(set(sequence)) == 1
+
+
+def test_words_of_earlier_blocks_are_not_encoded_again(monkeypatch):
+    """An encoder keeps the ids of words; forgetting them changes nothing."""
+    with open(BYTE_BPE, encoding="utf-8") as f:
+        definition = f.read()
+    blocks = [pa.array(x) for x in (["one two three", None, "two one"], ["three two one", "", "one four"], [], ["four one"], ["two\nthree"])]
+    plain = [tokens.Encoder(definition, split=False).encode(b) for b in blocks]
+    for kept in (1 << 20, 2):
+        monkeypatch.setattr(tokens, "KEPT", kept)
+        encoder, asked = tokens.Encoder(definition), []
+        real = encoder._distinct
+        monkeypatch.setattr(encoder, "_distinct", lambda pieces, real=real, asked=asked: asked.extend(pieces.to_pylist()) or real(pieces))
+        for block, (ids, counts) in zip(blocks, plain):
+            got = encoder.encode(block)
+            assert got[0].tolist() == ids.tolist() and got[1].tolist() == counts.tolist()
+        assert (len(asked) == len(set(asked))) == (kept > 2)
