@@ -354,9 +354,8 @@ def jaccard_components(docs: DataFrame, *, hot: int = 17, dense: int = 20, name_
     near, groups = prefix_candidates(element_rows(texts.filter("unsure")), 80, scratch)
     pairs = scratch.keep(listed.unionByName(promising(near, marks)).groupBy("a", "b").agg(F.sum("votes").alias("votes")))
     scratch.free(listed, near, unsure)
-    links, labels = all_links(pairs, groups, lambda some: verified(promising(some, marks), texts), scratch, dense=dense)
-    scratch.free(marks)
-    scratch.free(links, pairs, groups, texts)
+    labels = all_links(pairs, groups, lambda some: verified(promising(some, marks), texts), scratch, dense=dense)
+    scratch.free(marks, pairs, groups, texts)
     classed = (classes.select("c", "least").join(labels.select(F.col("node").alias("c"), "component"), "c", "left")
                .withColumn("component", F.coalesce("component", "c")))
     ids = classed.groupBy("component").agg(F.min("least").alias("component_id"))
