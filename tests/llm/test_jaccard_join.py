@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabkit.llm import components as module
 from tabkit.llm import jaccard_join
 from tabkit.llm.components import components
 from tabkit.llm.prefixes import prefix_candidates
@@ -126,6 +127,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).filter(F.col("node") > 0).count() == 0
 
 
+@pytest.mark.parametrize("together", [0, 20_000])
+def test_stars_take_no_turn(spark, monkeypatch, together):
+    """Edges that form stars are only read; a chain gets the same labels with and without a shuffle."""
+    monkeypatch.setattr(module, "TOGETHER", together)
+    kept = []
+    real = Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, heavy=False: kept.append(1) or real(self, df, heavy))
+    out = components(spark.createDataFrame([(i, i % 3) for i in range(3, 60)], "a long, b long")).collect()
+    assert {(r["node"], r["component"]) for r in out} == {(i, i % 3) for i in range(60)} and len(kept) == 2
+    chain = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()
+    assert {(r["node"], r["component"]) for r in chain} == {(i, 0) for i in range(41)}
+
+
 def test_rows_with_clashing_ids_stay(spark):
     """Rows are told apart by id and text; one of each component stays, and equal rows of it are one."""
     a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
