@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabkit.llm.components import all_links, renamed
-from tabkit.llm.prefixes import prefix_candidates
+from tabkit.llm.prefixes import prefix_candidates, turns_of
 from tabkit.llm.texts import blocks, lower_ascii, mixed, prefix_sums, raw, shingles, span_hashes, words
 from tabkit.sources.workspace import Scratch, checkpointed, ship_package
 
@@ -351,7 +351,10 @@ def jaccard_components(docs: DataFrame, *, hot: int = 17, dense: int = 20, name_
         "doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"), "text")
     same = [source[x].eqNullSafe(one[x]) for x in ("doc_id", "k1", "k2")]
     texts = scratch.keep(source.join(one, same).select("c", "unsure", "text"), heavy=True)
-    near, groups = prefix_candidates(element_rows(texts.filter("unsure")), 80, scratch)
+    elements, turns = element_rows(texts.filter("unsure")), turns_of(texts)
+    elements = elements if turns == 1 else scratch.keep(elements)
+    near, groups = prefix_candidates(elements, 80, scratch, turns)
+    scratch.free(elements)
     pairs = scratch.keep(listed.unionByName(promising(near, marks)).groupBy("a", "b").agg(F.sum("votes").alias("votes")))
     scratch.free(listed, near, unsure)
     labels = all_links(pairs, groups, lambda some: verified(promising(some, marks), texts), scratch, dense=dense)

@@ -4,7 +4,7 @@ import os
 import time
 from urllib.parse import urlparse
 
-from tabkit.sources.workspace import Scratch
+from tabkit.sources.workspace import Scratch, in_turn, release_shuffles
 
 
 def folder_of(df):
@@ -41,3 +41,44 @@ def test_shuffle_files_of_a_heavy_frame_go(spark):
             time.sleep(0.2)
         assert (held() > before + (1 << 20)) != heavy
         assert kept.count() == 400_000
+
+
+def held(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return sum(os.path.getsize(os.path.join(top, x)) for top, _, names in os.walk(str(manager.localDirs()[0].getPath())) for x in names if x.startswith("shuffle_"))
+
+
+def settles_below(spark, most):
+    began = time.time()
+    while held(spark) >= most and time.time() < began + 5:
+        time.sleep(0.1)
+    return held(spark) < most
+
+
+def test_the_last_statement_does_not_hold_its_shuffle_files(spark):
+    """No statement follows the heavy frame, so nothing else makes Spark's listeners forget its plan."""
+    release_shuffles(spark)
+    settles_below(spark, 1 << 20)
+    before = held(spark)
+    kept = Scratch(spark, "last").keep(spark.range(400_000).selectExpr("id", "uuid() AS u").repartition(5, "u"), heavy=True)
+    assert settles_below(spark, before + (1 << 20))
+    assert kept.count() == 400_000
+
+
+def test_turns_make_one_copy_and_leave_no_shuffle_files(spark):
+    release_shuffles(spark)
+    settles_below(spark, 1 << 20)
+    rows, before, seen = spark.range(600_000).selectExpr("id", "IF(id % 1000 = 0, NULL, uuid()) AS u"), held(spark), []
+
+    def part(turn):
+        settles_below(spark, before + (1 << 20))
+        seen.append(held(spark) - before)
+        return rows.filter(in_turn("id", turn, 3)).repartition(5, "u")
+
+    scratch = Scratch(spark, "turns")
+    kept = scratch.keep_turns(part, 3)
+    assert kept.count() == kept.select("id").distinct().count() == 600_000 and kept.filter("u IS NULL").count() == 600
+    assert settles_below(spark, before + (1 << 20)) and max(seen) < 1 << 20
+    folder = folder_of(kept)
+    scratch.free(kept)
+    assert not os.path.exists(folder)
