@@ -330,3 +330,27 @@ def test_multiclass_probabilities_and_storage(spark):
     fitted = vec.fit(flat)
     again = sinks.load_model(sinks.save_model(fitted, workspace.new_path(spark, "m")))
     assert rows(again.transform(flat).select("prediction")) == rows(fitted.transform(flat).select("prediction"))
+
+
+def test_turns_of_items_and_users_change_no_row(spark, ratings, monkeypatch):
+    """Items and users that take turns get the same rows, and nothing is left of a turn but its result."""
+    df, _ = ratings
+    items = spark.createDataFrame([(i, [f"g{i % 3}", f"h{i % 4}"], "TM"[i % 2], 1 + i % 9, 8.0) for i in range(60)],
+                                  "item int, genres array<string>, kind string, episodes int, rating double")
+
+    def found(light):
+        sim = recommend.item_similarity(df, 4, light=light, item_block=16, user_block=16)
+        rec = recommend.recommend(df, sim, 3)
+        return [sorted(map(tuple, x.collect())) for x in (sim, rec, recommend.hybrid_recommend(df, items, 3, seed=3))]
+
+    whole = found(5)
+    monkeypatch.setattr(recommend, "TURN_PAIRS", 500)
+    monkeypatch.setattr(recommend, "PAIRS_PER_ROW", 0)
+    monkeypatch.setattr(recommend, "TURN_ROWS", 40)
+    made, kept, real = [], [], recommend.Scratch
+    monkeypatch.setattr(recommend, "Scratch", lambda *a: kept.append(real(*a)) or kept[-1])
+    turns = real.keep_turns
+    monkeypatch.setattr(real, "keep_turns", lambda self, make, n: made.append(n) or turns(self, make, n))
+    assert found(5) == whole and all(whole)
+    assert len(made) == 2 and min(made) > 1
+    assert [len({id(copy) for copy, _ in x._kept}) for x in kept] == [1, 1, 1]
