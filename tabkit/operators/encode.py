@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,9 @@ from tabkit.functions.scalars import hash_unit, harmonics, month_name, weekday_n
 from tabkit.operators.agg import freq, mode_of
 from tabkit.operators.neighbors import knn_join
 from tabkit.operators.order import SPAN_ROWS, null_safe_join, quantiles, with_position
-from tabkit.sources.workspace import checkpointed
+from tabkit.sources.workspace import Scratch
+
+PATH_ROWS = 40_000_000           # rows that a step of the landmarks' paths lists in one turn
 
 
 @dataclass
@@ -216,16 +219,18 @@ def landmark_isomap(df: DataFrame, key: str, features: str, components: int = 2,
     neighbours doubles until it is.
     """
     rows = df.select(F.col(key).alias("id"), F.col(features).cast("array<double>").alias("x"))
-    rows = checkpointed(rows)
+    scratch = Scratch(df.sparkSession, "isomap")
+    rows = scratch.keep(rows)
     total = rows.count()
     n_landmarks = min(n_landmarks, total)
     marks = [r["id"] for r in rows.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n_landmarks).collect()]
     k = min(n_neighbors, max(total - 1, 1))
     while True:
-        dist = _landmark_paths(rows, marks, k)
+        dist = _landmark_paths(rows, marks, k, scratch)
         reached = dist.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == n_landmarks).count()
         if reached == total or k >= total - 1:
             break
+        scratch.free(dist)
         k = min(2 * k, total - 1)
     index = {m: i for i, m in enumerate(marks)}
     square = np.zeros((n_landmarks, n_landmarks))
@@ -249,18 +254,31 @@ def landmark_isomap(df: DataFrame, key: str, features: str, components: int = 2,
     return dist.groupBy(F.col("id").alias(key)).agg(*coords)
 
 
-def _landmark_paths(rows: DataFrame, marks, k: int) -> DataFrame:
+def _landmark_paths(rows: DataFrame, marks, k: int, scratch: Scratch) -> DataFrame:
+    """Landmarks take turns, so that the disk holds the steps of a few; a step's copy goes once the next one stands."""
     near = knn_join(rows, rows.withColumnRenamed("id", "nb"), "id", "nb", "x", k, exclude_same=True)
     one_way = near.select(F.col("id").alias("a"), F.col("nb").alias("b"), F.col("distance").alias("w"))
-    edges = checkpointed(one_way.union(one_way.select("b", "a", "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
-    start = rows.filter(F.col("id").isin(marks)).select(F.col("id").alias("landmark"), "id", F.lit(0.0).alias("d"))
-    best = checkpointed(start)
-    front = best
-    while not front.isEmpty():
-        step = front.join(edges, front["id"] == edges["a"]).groupBy("landmark", F.col("b").alias("id")).agg(
-            F.min(F.col("d") + F.col("w")).alias("nd"))
-        merged = checkpointed(best.join(step, ["landmark", "id"], "full").select(
-            "landmark", "id", F.least("d", "nd").alias("d"),
-            (F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d") - 1e-12))).alias("better")))
-        best, front = merged.drop("better"), merged.filter("better").drop("better")
-    return best
+    edges = scratch.keep(one_way.union(one_way.select("b", "a", "w")).groupBy("a", "b").agg(F.min("w").alias("w")), heavy=True)
+    steps = len(marks) * edges.count()                                  # rows that a step lists at most
+    turns, held = max(1, min(len(marks), ceil(steps / PATH_ROWS))), []
+
+    def grown(turn: int) -> DataFrame:
+        scratch.free(*held)
+        start = rows.filter(F.col("id").isin(marks[turn::turns])).select(F.col("id").alias("landmark"), "id", F.lit(0.0).alias("d"))
+        held[:] = [scratch.keep(start)]
+        best = front = held[0]
+        while not front.isEmpty():
+            step = front.join(edges, front["id"] == edges["a"]).groupBy("landmark", F.col("b").alias("id")).agg(
+                F.min(F.col("d") + F.col("w")).alias("nd"))
+            merged = scratch.keep(best.join(step, ["landmark", "id"], "full").select(
+                "landmark", "id", F.least("d", "nd").alias("d"),
+                (F.col("nd").isNotNull() & (F.col("d").isNull() | (F.col("nd") < F.col("d") - 1e-12))).alias("better")), heavy=20 * steps > PATH_ROWS)
+            scratch.free(*held)
+            held[:] = [merged]
+            best, front = merged.drop("better"), merged.filter("better").drop("better")
+        return best
+
+    out = scratch.keep_turns(grown, turns)
+    scratch.free(edges, *held)
+    return out
+

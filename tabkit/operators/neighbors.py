@@ -6,7 +6,9 @@ The join goes in two rounds. First each query meets its nearest cells, until the
 distance found bounds where better ones may be. Then only queries with a cell within that bound visit it,
 by the triangle inequality. Cells larger than a block are cut into blocks on both sides, so one task
 never holds more than ``block_rows`` rows of either side, and each block returns only its k best per
-query. Nothing is sampled or capped: pivots only decide what meets first.
+query. Where bounds rule out few cells, as with many columns, the second round visits large blocks of cells at
+once instead, so that a row is sent once for each block. Its queries take turns, and the disk holds a turn's copies: a
+multiple of the rows. Nothing is sampled or capped: pivots only decide what meets first.
 """
 
 from __future__ import annotations
@@ -22,8 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from tabkit.functions.scalars import hash_bucket, hash_unit
-from tabkit.sources.workspace import checkpointed
+from tabkit.sources.workspace import Scratch, in_turn
 
+MOST_COPIES = 8                  # of each row that one turn sends on average
+FEW_COPIES = 200_000             # of rows that need no turns
+WIDE = 4                         # blocks that bounds do not thin out are so many times larger
+CHUNK = 1 << 21                  # distances at a time
 PIVOT_BYTES = 64 << 20           # what the pivots may take in memory; beyond it cells grow and are cut into blocks
 
 
@@ -48,6 +54,42 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out, out=out)
 
 
+def _k_nearest(x: np.ndarray, bx: np.ndarray, k: int, skip: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of x, row of bx and distance of each row's k nearest that it does not skip and that lie within its bound; ties go to the first.
+
+    A matrix product tells which may be among them, up to its error; their distances are summed like those of ``_distances``.
+    """
+    held = np.isnan(x)
+    filled, own = np.where(held, 0.0, x), (bx * bx).sum(1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = (~held).astype(float) @ (bx * bx).T if held.any() else own[None, :]
+        size = (filled * filled).sum(1)
+        error = 1e-11 * (size + (own.max() if len(own) else 0.0))
+    if np.isfinite(error).all():
+        rough = size[:, None] + norms - 2.0 * (filled @ bx.T)
+        rough[skip] = np.inf
+        limit = bound * bound
+        loose = np.flatnonzero(~np.isfinite(limit))
+        if len(loose) and bx.shape[0] > k:
+            limit[loose] = np.partition(rough[loose], k - 1, axis=1)[:, k - 1]
+        row, spot = np.nonzero((rough <= limit[:, None] * (1 + 1e-9) + 2 * error[:, None]) & ~skip)
+    else:                                                               # squares too large for a product
+        row, spot = np.nonzero(~skip)
+    d = np.zeros(len(row))
+    for j in range(x.shape[1]):
+        gap = x[row, j] - bx[spot, j]
+        gap[held[row, j]] = 0.0
+        gap *= gap
+        d += gap
+    np.sqrt(d, out=d)
+    order = np.lexsort((spot, d, row))
+    order = order[np.isfinite(d[order])]
+    row, spot, d = row[order], spot[order], d[order]
+    first = np.searchsorted(row, row, side="left")
+    best = np.arange(len(row)) - first < k
+    return row[best], spot[best], d[best]
+
+
 class PivotTree:
     """Pivots of one group below about as many tops as a top has children."""
 
@@ -140,7 +182,8 @@ def knn_join(queries: DataFrame, base: DataFrame, query_key: str, base_key: str,
     queries = queries.select(F.col(query_key).alias("q"), F.col(features).cast("array<double>").alias("x"), group.alias("g")).filter("x IS NOT NULL")
     base = base.select(F.col(base_key).alias("b"), F.col(features).cast("array<double>").alias("x"), group.alias("g")).filter(
         F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
-    base = checkpointed(base)
+    scratch = Scratch(spark, "near")
+    base = scratch.keep(base, heavy=True)
     q_field, b_field = queries.schema["q"], base.schema["b"]
     x_field, g_field = base.schema["x"], base.schema["g"]
     out_schema = StructType([StructField(query_key, q_field.dataType), StructField(base_key, b_field.dataType),
@@ -170,7 +213,7 @@ def knn_join(queries: DataFrame, base: DataFrame, query_key: str, base_key: str,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(r)], ["b", "x", "g", "cell", "r"])
 
     if picked:
-        celled = checkpointed(base.mapInArrow(to_cells, StructType([b_field, x_field, g_field]).add("cell", IntegerType()).add("r", DoubleType())))
+        celled = scratch.keep(base.mapInArrow(to_cells, StructType([b_field, x_field, g_field]).add("cell", IntegerType()).add("r", DoubleType())))
     else:
         celled = base.withColumns({"cell": F.lit(0), "r": F.lit(0.0)})
     sizes = celled.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("r_min"), F.max("r").alias("r_max"))
@@ -202,7 +245,8 @@ def knn_join(queries: DataFrame, base: DataFrame, query_key: str, base_key: str,
                     for i, c in zip(rows, trees[g].far(x[rows], bound[rows], [seen[i] for i in rows])):
                         cells[i] = c
             open_ = np.array([len(c) > 0 for c in cells], bool)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q", "x", "g")), _lists(cells)], ["q", "x", "g", "cells"]).filter(pa.array(open_))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("q", "x", "g")), _lists(cells), batch.column("cells"), pa.array(bound)],
+                                             ["q", "x", "g", "cells", "seen", "bound"]).filter(pa.array(open_))
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
@@ -211,13 +255,22 @@ def knn_join(queries: DataFrame, base: DataFrame, query_key: str, base_key: str,
             bx, bkeys, x = _matrix(right.column("x")), right.column("b").combine_chunks(), _matrix(left.column("x"))
             own = left.column("q").to_numpy(zero_copy_only=False)
             theirs = bkeys.to_numpy(zero_copy_only=False)
-            for start in range(0, len(x), 512):
-                d = _distances(x[start:start + 512], bx)
+            cells, bound = right.column("cell").to_numpy(), left.column("bound").to_numpy()
+            seen = left.column("seen").combine_chunks()
+            ends = np.concatenate([[0], np.cumsum(seen.value_lengths().to_numpy(zero_copy_only=False))]).astype(int)
+            visited = seen.flatten().to_numpy(zero_copy_only=False)
+            size = max(1, CHUNK // len(bx))
+            for start in range(0, len(x), size):
+                stop = min(start + size, len(x))
+                skip = np.zeros((stop - start, len(bx)), bool)
                 if exclude_same:
-                    d[own[start:start + 512][:, None] == theirs[None, :]] = np.inf
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                row, spot = np.divmod(np.flatnonzero(np.isfinite(np.take_along_axis(d, order, axis=1))), max(order.shape[1], 1))
-                found.append((start + row, order[row, spot], d[row, order[row, spot]]))
+                    skip |= own[start:stop][:, None] == theirs[None, :]
+                lengths = np.diff(ends[start:stop + 1])
+                for at in range(lengths.max()):                         # the cells of the first round, which are few
+                    asks = np.flatnonzero(lengths > at)
+                    skip[asks] |= cells[None, :] == visited[ends[start + asks] + at][:, None]
+                row, spot, d = _k_nearest(x[start:stop], bx, k, skip, bound[start:stop])
+                found.append((start + row, spot, d))
         rows = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table({query_key: left.column("q").take(pa.array(rows[0])), base_key: right.column("b").take(pa.array(rows[1])), "distance": rows[2]})
 
@@ -226,27 +279,45 @@ def knn_join(queries: DataFrame, base: DataFrame, query_key: str, base_key: str,
 
     best = W.partitionBy(query_key).orderBy("distance", base_key)
 
-    def visit(asked: DataFrame) -> DataFrame:
-        """The k best of the cells that each query asks for."""
-        asked = asked.select("q", "x", "g", F.explode("cells").alias("cell"))
-        loads = asked.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("nq"))
-        plan = sizes.join(loads, ["g", "cell"]).select("g", "cell", F.ceil(F.col("n") / block_rows).cast("int").alias("nb"),
-                                                       F.ceil(F.col("nq") / block_rows).cast("int").alias("nqb"))
-        left = asked.join(plan, ["g", "cell"]).select(
-            "g", "cell", slot("q", "nqb", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), "q", "x")
-        right = celled.join(plan, ["g", "cell"]).select(
-            "g", "cell", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)).alias("i"), slot("b", "nb", 2).alias("j"), "b", "x")
-        block = ["g", "cell", "i", "j"]
+    def visit(asked: DataFrame, merge: int = 1, most: int = block_rows) -> DataFrame:
+        """The k best of the cells that each query asks for, or of runs of so many cells with one, without those it has seen."""
+        runs = F.array_distinct(F.transform("cells", lambda c: F.floor(c / merge).cast("int")))
+        asked = asked.select("q", "x", "g", "seen", "bound", F.explode(runs).alias("run"))
+        run = F.floor(F.col("cell") / merge).cast("int").alias("run")
+        held = sizes.groupBy("g", run).agg(F.sum("n").alias("n"))
+        loads = asked.groupBy("g", "run").agg(F.count(F.lit(1)).alias("nq"))
+        plan = held.join(loads, ["g", "run"]).select("g", "run", F.ceil(F.col("n") / most).cast("int").alias("nb"),
+                                                     F.ceil(F.col("nq") / most).cast("int").alias("nqb"))
+        left = asked.join(plan, ["g", "run"]).select(
+            "g", "run", slot("q", "nqb", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"), "q", "x", "seen", "bound")
+        right = celled.withColumn("run", run).join(plan, ["g", "run"]).select(
+            "g", "run", F.explode(F.sequence(F.lit(0), F.col("nqb") - 1)).alias("i"), slot("b", "nb", 2).alias("j"), "b", "x", "cell")
+        block = ["g", "run", "i", "j"]
         return left.groupBy(*block).cogroup(right.groupBy(*block)).applyInArrow(nearest, out_schema)
 
     def cut(pairs: DataFrame) -> DataFrame:
         return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
+    fresh = {"seen": F.array().cast("array<int>"), "bound": F.lit(float("inf"))}
     if not picked:
-        return cut(visit(checkpointed(queries.withColumn("cells", F.array(F.lit(0)))))).select(query_key, base_key, "distance", "rank")
-    near = checkpointed(queries.mapInArrow(to_near, StructType([q_field, queries.schema["x"], queries.schema["g"]]).add("cells", ArrayType(IntegerType()))))
-    first = checkpointed(cut(visit(near)))
+        return cut(visit(scratch.keep(queries.withColumn("cells", F.array(F.lit(0)))).withColumns(fresh))).select(query_key, base_key, "distance", "rank")
+    near = scratch.keep(queries.mapInArrow(to_near, StructType([q_field, queries.schema["x"], queries.schema["g"]]).add("cells", ArrayType(IntegerType()))))
+    first = scratch.keep(cut(visit(near.withColumns(fresh))), heavy=True)
     bounds = first.filter(F.col("rank") == k).select(F.col(query_key).alias("q"), F.col("distance").alias("bound"))
     asked = of_large(near).join(bounds, "q", "left").select("q", "x", "g", "cells", "bound")
-    far = checkpointed(asked.mapInArrow(to_far, near.schema))
-    return cut(first.drop("rank").unionByName(visit(far))).select(query_key, base_key, "distance", "rank")
+    far = scratch.keep(asked.mapInArrow(to_far, StructType([*near.schema.fields, StructField("seen", ArrayType(IntegerType())), StructField("bound", DoubleType())])), heavy=True)
+    cells = sum(len(m) for m in measures.values())
+    wide = block_rows * WIDE
+    merge = max(1, wide * cells // max(total, 1))
+    n, per_cell, per_run = far.agg(F.count(F.lit(1)), F.sum(F.size("cells")), F.sum(F.size(F.array_distinct(F.transform("cells", lambda c: F.floor(c / merge).cast("int")))))).first()
+    # Fewer copies of queries pay for more distances where a run stands for many asked cells.
+    merge, most, copies = (merge, wide, per_run) if n and 4 * per_run <= per_cell else (1, block_rows, per_cell or 0)
+    turns = max(1, ceil(2 * copies / max(FEW_COPIES, MOST_COPIES * (n or 0))))
+
+    def better(turn: int) -> DataFrame:
+        mine = visit(far.filter(in_turn("q", turn, turns)), merge, most)
+        return cut(first.drop("rank").filter(in_turn(query_key, turn, turns)).unionByName(mine)).select(query_key, base_key, "distance", "rank")
+
+    out = scratch.keep_turns(better, turns)
+    scratch.free(base, celled, near, first, far)
+    return out

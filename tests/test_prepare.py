@@ -467,3 +467,45 @@ def test_decompose_recovers_season(spark):
     assert out.agg(F.max(F.abs("remainder"))).first()[0] < 1e-9
     odd = stats.decompose(df, ["s"], ["i"], "v", 5, span_rows=9)
     assert odd.filter("trend IS NULL").count() == 4
+
+
+def test_knn_join_of_many_columns_sends_blocks_in_turns(spark, monkeypatch):
+    """Where bounds rule out no cell, a query is sent once for each large block, and queries take turns; no neighbour changes."""
+    pts = [(i, x) for i, x, _ in _points(400, 24, 5)]
+    df = spark.createDataFrame(pts, "k bigint, x array<double>")
+    monkeypatch.setattr(neighbors, "FEW_COPIES", 100)
+    monkeypatch.setattr(neighbors, "MOST_COPIES", 2)
+    turns, real = [], neighbors.Scratch.keep_turns
+    monkeypatch.setattr(neighbors.Scratch, "keep_turns", lambda self, make, n: turns.append(n) or real(self, make, n))
+    got = knn_join(df, df.withColumnRenamed("k", "n"), "k", "n", "x", 4, exclude_same=True, cell_rows=10, block_rows=40)
+    found = {(r["k"], r["rank"]): (r["n"], round(r["distance"], 9)) for r in got.collect()}
+    assert turns[0] > 1 and len(found) == got.count() == 4 * 400
+    for k, x in pts:
+        near = sorted((round(float(np.linalg.norm(np.array(x) - np.array(y))), 9), j) for j, y in pts if j != k)[:4]
+        assert [found[k, i] for i in (1, 2, 3, 4)] == [(j, d) for d, j in near]
+
+
+def test_k_nearest_of_a_block_is_exact():
+    """Distances are those that are summed column by column, also next to large values, holes and ties."""
+    rng = np.random.default_rng(3)
+    bx = np.concatenate([rng.normal(size=(60, 8)), rng.normal(size=(20, 8)) * 1e-7 + 1e6, np.ones((5, 8)), np.full((1, 8), np.inf)])
+    for top in (bx, np.concatenate([bx[:-1], np.full((2, 8), 1e200)])):
+        x = np.concatenate([top[::3], [[np.nan, *[0.5] * 7]]])
+        skip = rng.random((len(x), len(top))) < 0.1
+        with np.errstate(invalid="ignore"):
+            d = neighbors._distances(x, top)
+        d[skip | ~np.isfinite(d)] = np.inf
+        for bound in (np.full(len(x), np.inf), np.partition(d, 4, axis=1)[:, 4]):
+            row, spot, got = neighbors._k_nearest(x, top, 5, skip, bound)
+            want = [(i, j, d[i, j]) for i in range(len(x)) for j in np.argsort(d[i], kind="stable")[:5] if np.isfinite(d[i, j])]
+            assert list(zip(row, spot, got)) == want
+
+
+def test_isomap_landmarks_take_turns(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i), float(i * i % 7)]) for i in range(40)], "id long, x array<double>")
+    place = lambda: sorted(tuple(round(v, 6) for v in r) for r in encode.landmark_isomap(df, "id", "x", 2, 4, 6).collect())
+    whole = place()
+    monkeypatch.setattr(encode, "PATH_ROWS", 400)
+    turns, real = [], encode.Scratch.keep_turns
+    monkeypatch.setattr(encode.Scratch, "keep_turns", lambda self, make, n: turns.append(n) or real(self, make, n))
+    assert place() == whole and max(turns) > 1
